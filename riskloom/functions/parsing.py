@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INTEGER = r"^\s*[+-]?\d+\s*$"
+# Letters of Java's own number spellings (1d, 2f, 0x1p3, NaN, Infinity); an exponent's e stays allowed.
+FOREIGN = "dDfFxXpPnN"
 
 
 def parse_double(c: Column) -> Column:
-    """Number or null. The pattern keeps out Java spellings such as ``1d`` or ``0x1p3``."""
-    text = c.cast("string")
-    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+    """Number or null: digits with sign, point and exponent, nothing else."""
+    return F.translate(c.cast("string"), FOREIGN, "#" * len(FOREIGN)).try_cast("double")
 
 
 def parse_long(c: Column) -> Column:
     """Whole number or null: takes ``35``, ``"35"`` and ``25.0``, refuses ``25.5`` and text."""
-    text = F.trim(c.cast("string"))
+    text = c.cast("string")
     number = parse_double(text)
-    return F.when(text.rlike(INTEGER), text.try_cast("bigint")).when(
-        number == F.floor(number), number.try_cast("bigint")
-    )
+    whole = F.when(number == F.floor(number), number.try_cast("bigint"))
+    # Plain digits go straight to bigint, which keeps every digit of a long number.
+    return F.coalesce(F.when(F.instr(text, ".") == 0, text.try_cast("bigint")), whole)
 
 
 def parse_date(c: Column) -> Column:

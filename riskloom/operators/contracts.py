@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.parsing import parse_date, parse_double, parse_long, tidy_text
+from ..functions.parsing import FOREIGN, parse_date, parse_double, parse_long, tidy_text
 from ..schema import Field
 from .columns import quoted
 
 VIOLATIONS = "violations"
+LONG_LIMIT = "9.2E18D"  # whole numbers beyond this do not fit a bigint
 
 
 
@@ -48,51 +49,75 @@ def typed_value(field: Field, source: T.DataType) -> Column:
     return raw.cast("string")
 
 
-def _parsed(name: str) -> str:
-    return quoted(f"{name} parsed")
+def _kinds(df: DataFrame, contract: list[Field]) -> dict[Field, T.DataType]:
+    """Fields present in the table, with the type they arrive in."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return {f: types[f.name] for f in contract if f.name in types}
 
 
-def violation_code(field: Field) -> str:
-    """SQL text giving the first broken rule of a field, or null. Reads the parsed column."""
-    value = _parsed(field.name)
+def _checked_value(field: Field, source: T.DataType) -> str:
+    """SQL text of the value the rules look at; null if it cannot be read.
+
+    It is written apart from ``typed_value`` on purpose. Where a filter and a projection above
+    it share many expressions, the optimizer derives every mixture of the two as a constraint,
+    a number that doubles with each shared field.
+    """
+    name = quoted(field.name)
+    if field.kind == "enum":
+        text = f"translate(lower({name}), '-', '_')" if field.fold == "dash" else f"lower(trim({name}))"
+        listed = ", ".join(f"'{folded(v, field.fold)}'" for v in field.levels)
+        return f"IF({text} IN ({listed}), 1, NULL)"
+    if field.kind == "text":
+        return name
+    if isinstance(source, T.IntegralType):
+        return name
+    if isinstance(source, T.NumericType):
+        value = f"nanvl(double({name}), NULL)"
+    else:
+        value = f"try_cast(translate(trim({name}), '{FOREIGN}', '{'#' * len(FOREIGN)}') AS DOUBLE)"
+    if field.kind == "int":
+        return f"IF({value} = floor({value}) AND abs({value}) < {LONG_LIMIT}, {value}, NULL)"
+    return value
+
+
+def violation_code(field: Field, source: T.DataType) -> str:
+    """SQL text giving the first broken rule of a field, or null."""
+    value = _checked_value(field, source)
     missing = "NULL" if field.optional else "'missing'"
-    whens = [f"WHEN {quoted(field.name)} IS NULL THEN {missing}"]
-    if field.kind != "text":
-        whens.append(f"WHEN {value} IS NULL THEN '{'bad_level' if field.kind == 'enum' else 'bad_type'}'")
-    if field.ge is not None:
-        whens.append(f"WHEN {value} < {field.ge} THEN 'too_small'")
-    if field.gt is not None:
-        whens.append(f"WHEN {value} <= {field.gt} THEN 'too_small'")
-    if field.le is not None:
-        whens.append(f"WHEN {value} > {field.le} THEN 'too_large'")
+    unreadable = "bad_level" if field.kind == "enum" else "bad_type"
+    whens = [f"WHEN {quoted(field.name)} IS NULL THEN {missing}", f"WHEN {value} IS NULL THEN '{unreadable}'"]
+    bounds = [("<", field.ge, "too_small"), ("<=", field.gt, "too_small"), (">", field.le, "too_large")]
+    whens += [f"WHEN {value} {op} {limit} THEN '{code}'" for op, limit, code in bounds if limit is not None]
     return f"CASE {' '.join(whens)} END"
 
 
-def parse_fields(df: DataFrame, contract: list[Field]) -> DataFrame:
-    """Adds a parsed twin of every contract column, so that each value is parsed once."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    twins = [typed_value(f, kinds[f.name]).alias(f"{f.name} parsed") for f in contract if f.name in kinds]
-    return df.select("*", *twins)
+def _holds(field: Field, source: T.DataType) -> str:
+    """SQL condition that a field keeps its rules."""
+    value = _checked_value(field, source)
+    bounds = [(">=", field.ge), (">", field.gt), ("<=", field.le)]
+    tests = [f"{value} {op} {limit}" for op, limit in bounds if limit is not None] or [f"{value} IS NOT NULL"]
+    held = f"coalesce({' AND '.join(tests)}, false)"
+    return f"({quoted(field.name)} IS NULL OR {held})" if field.optional else held
 
 
-def valid_condition(df: DataFrame, contract: list[Field]) -> str:
-    """SQL condition over parsed columns; stops at the first broken field."""
-    codes = [violation_code(f) for f in contract if f.name in df.columns]
-    return f"coalesce({', '.join(codes)}) IS NULL"
+def broken_fields(df: DataFrame, contract: list[Field]) -> str:
+    """SQL number of broken fields: one flat sum, evaluated in generated code."""
+    return " + ".join(f"IF({_holds(f, kind)}, 0, 1)" for f, kind in _kinds(df, contract).items())
 
 
-def violations_array(df: DataFrame, contract: list[Field]) -> Column:
-    found = [
-        f"named_struct('field', '{f.name}', 'code', {violation_code(f)}, 'value', string({quoted(f.name)}))"
-        for f in contract
-        if f.name in df.columns
+def _findings(df: DataFrame, contract: list[Field]) -> str:
+    """SQL array with one entry per field, broken or not."""
+    entries = [
+        f"named_struct('field', '{f.name}', 'code', {violation_code(f, kind)}, 'value', string({quoted(f.name)}))"
+        for f, kind in _kinds(df, contract).items()
     ]
-    return F.expr(f"filter(array({', '.join(found)}), v -> v.code IS NOT NULL)").alias(VIOLATIONS)
+    return f"array({', '.join(entries)})"
 
 
 def with_violations(df: DataFrame, contract: list[Field]) -> DataFrame:
     """Adds ``violations``: one entry (field, code, value) per broken field."""
-    return parse_fields(df, contract).select(*[quoted(c) for c in df.columns], violations_array(df, contract))
+    found = F.expr(f"filter({_findings(df, contract)}, v -> v.code IS NOT NULL)")
+    return df.select(*[quoted(c) for c in df.columns], found.alias(VIOLATIONS))
 
 
 def missing_columns(df: DataFrame, contract: list[Field]) -> list[str]:
@@ -116,30 +141,26 @@ def check_columns(df: DataFrame, contract: list[Field], unknown: str = "reject",
 
 def typed_rows(df: DataFrame, contract: list[Field], keys=("row_id",)) -> DataFrame:
     """Contract columns in their contract types and spellings; unreadable values become null."""
-    return _typed(parse_fields(df, contract), contract, keys)
-
-
-def _typed(parsed: DataFrame, contract: list[Field], keys) -> DataFrame:
-    held = [c for c in keys if c in parsed.columns]
-    fields = [f for f in contract if f.name in parsed.columns]
-    return parsed.selectExpr(*held, *[f"{_parsed(f.name)} AS {quoted(f.name)}" for f in fields])
+    held = [c for c in keys if c in df.columns]
+    return df.select(*held, *[typed_value(f, kind).alias(f.name) for f, kind in _kinds(df, contract).items()])
 
 
 def split_valid(df: DataFrame, contract: list[Field], keys=("row_id",)) -> tuple[DataFrame, DataFrame]:
     """(typed good rows, untouched bad rows with their violations); together the whole input."""
-    parsed, valid = parse_fields(df, contract), valid_condition(df, contract)
-    bad = parsed.filter(f"NOT ({valid})").select(*[quoted(c) for c in df.columns], violations_array(df, contract))
-    return _typed(parsed.filter(valid), contract, keys), bad
+    broken = broken_fields(df, contract)
+    good = typed_rows(df.filter(f"{broken} = 0"), contract, keys)
+    return good, with_violations(df.filter(f"{broken} > 0"), contract)
 
 
 def violation_rows(df: DataFrame, contract: list[Field], key: str = "row_id") -> DataFrame:
-    """One row per violation."""
-    return with_violations(df, contract).select(key, F.inline(VIOLATIONS))
+    """One row per violation. Only bad rows are unfolded into their fields."""
+    bad = df.filter(f"{broken_fields(df, contract)} > 0")
+    return bad.selectExpr(key, f"inline({_findings(df, contract)})").filter("code IS NOT NULL")
 
 
 def first_invalid(df: DataFrame, contract: list[Field], key: str = "row_id") -> DataFrame:
     """The lowest failing key: what a fail-fast caller reports."""
-    bad = parse_fields(df, contract).filter(f"NOT ({valid_condition(df, contract)})")
+    bad = df.filter(f"{broken_fields(df, contract)} > 0")
     return bad.agg(F.min(key).alias(key), F.count(F.lit(1)).alias("invalid_rows"))
 
 

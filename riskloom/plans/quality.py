@@ -15,6 +15,7 @@ from ..schema import (
     UPLOAD_RULES,
     UPLOAD_TEXT,
 )
+from ..session import settle
 from ..sources.tables import loans, loans_dirty, table
 from .catalog import on_dirty, on_loans, query, tidy
 from .predictions import one_model
@@ -412,7 +413,7 @@ def processed_contract(spark, sf_dir):
         return F.expr(f"bigint(CASE {c} {whens} ELSE -1 END)")
 
     encoded = loans(spark, sf_dir).withColumns({c: code(c) for c in _CODES})
-    rows = contracts.violation_rows(encoded, PROCESSED_CONTRACT)
+    rows = contracts.violation_rows(settle(encoded, "encoded"), PROCESSED_CONTRACT)
     return rows.groupBy("field", "code").agg(
         F.count(F.lit(1)).alias("violations"), F.min(F.col("value").cast("bigint")).alias("lowest")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules
 from ..schema import EDUCATION, HOME, LABELS, MARITAL, RAW_COLUMNS
-from ..session import configure
+from ..session import configure, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +91,11 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loans_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same applications as text, with defects keyed by ``row_id``."""
+    """The same applications as a landed table of text, with defects keyed by ``row_id``.
+
+    It is written first, as raw data would be: checks then read plain columns instead of
+    pushing their conditions through the formulas the rows were derived with.
+    """
 
     def seeded(name: str, modulus: int, values: dict[int, str]) -> str:
         whens = " ".join(f"WHEN {remainder} THEN {value}" for remainder, value in values.items())
@@ -106,6 +110,7 @@ def loans_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         "MonthlyIncome": (127, {6: "'0'"}),
     }
     columns = [*RAW_COLUMNS, "MaritalStatus"]
-    return loans(spark, sf_dir).selectExpr(
+    landed = loans(spark, sf_dir).selectExpr(
         "row_id", *[seeded(c, *defects[c]) if c in defects else f"string({c}) AS {c}" for c in columns]
     )
+    return settle(landed, "landed")

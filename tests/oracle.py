@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -55,10 +56,14 @@ def main(argv):
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     spark, con, failed = local_session("8"), connect(sf_dir), 0
+    limit = float(os.environ.get("QUERY_SECONDS", "120"))
     for name, run in QUERIES.items():
         if argv[1:] and not any(name.startswith(p) for p in argv[1:]):
             continue
         start = time.time()
+        spark.sparkContext.setJobGroup(name, name, interruptOnCancel=True)
+        watch = threading.Timer(limit, spark.sparkContext.cancelJobGroup, [name])
+        watch.start()
         try:
             if name in ORACLES:
                 verdict = compare(run(spark, sf_dir), ORACLES[name], con)
@@ -66,6 +71,7 @@ def main(argv):
                 verdict = "" if run(spark, sf_dir).count() > 0 else "no rows"
         except Exception as e:  # noqa: BLE001
             verdict = f"{type(e).__name__}: {str(e)[:600]}"
+        watch.cancel()
         failed += bool(verdict)
         print(f"{'FAIL' if verdict else 'ok':5}{time.time() - start:6.1f}s {name} {verdict}", flush=True)
     print("failed:", failed)
