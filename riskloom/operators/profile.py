@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
-from pyspark.ml.feature import Bucketizer
+from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,22 @@ def _doubles(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     return df.select(*keep, *[F.expr(f"nanvl(double({quoted(c)}), NULL)").alias(c) for c in columns])
 
 
+STATS_AT_ONCE = 48  # aggregates per pass; generated code grows with them
+
+
 def _collect_stats(df: DataFrame, columns: list[str], stats: dict[str, str]) -> dict[str, dict[str, float]]:
-    """All statistics of all columns in one aggregation; as many values as columns x stats."""
-    aggs = [f"{sql.format(quoted(c))} AS {quoted(f'{i} {name}')}" for i, c in enumerate(columns) for name, sql in stats.items()]
-    row = df.selectExpr(*aggs).first()
-    return {c: {name: row[f"{i} {name}"] for name in stats} for i, c in enumerate(columns)}
+    """All statistics of all columns: columns x stats values.
+
+    Some columns per aggregation; each pass reads only its own columns, so none is read twice.
+    """
+    out, step = {}, max(1, STATS_AT_ONCE // len(stats))
+    for start in range(0, len(columns), step):
+        part = columns[start : start + step]
+        row = df.selectExpr(
+            *[f"{sql.format(quoted(c))} AS {quoted(f'{i} {name}')}" for i, c in enumerate(part) for name, sql in stats.items()]
+        ).first()
+        out |= {c: {name: row[f"{i} {name}"] for name in stats} for i, c in enumerate(part)}
+    return out
 
 
 def _stats_table(df: DataFrame, stats: dict[str, dict[str, float]]) -> DataFrame:
@@ -77,17 +90,31 @@ def target_correlation(df: DataFrame, target: str, columns: list[str] | None = N
     return long_table(totals, [{"column_name": f"'{c}'", "correlation": quoted(c)} for c in names])
 
 
+PAIRS_AT_ONCE = 40  # pairs per aggregation; generated code grows with them
+
+
 def pearson_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Correlation of every pair (each pair once), rows with a missing side left out.
 
-    One aggregation over all pairs: memory per task grows with the pairs, not the rows.
+    Columns without missing values share one matrix computation. Pairs with a gappy side
+    are aggregated some at a time. The result holds one row per pair of columns.
     """
     names = _numbers(df, columns)
-    pairs = list(combinations(names, 2))
-    totals = _doubles(df, names).agg(*[F.expr(f"corr({quoted(a)}, {quoted(b)})").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return long_table(
-        totals, [{"column_a": f"'{a}'", "column_b": f"'{b}'", "correlation": f"c{i}"} for i, (a, b) in enumerate(pairs)]
-    )
+    data = _doubles(df, names)
+    gaps = _collect_stats(data, names, {"missing": "count_if({0} IS NULL)", "count": "count({0})"})
+    whole = [c for c in names if not gaps[c]["missing"] and gaps[c]["count"] > 1]
+    found = {}
+    if len(whole) > 1:
+        vectors = VectorAssembler(inputCols=whole, outputCol="v").transform(data.select(*map(quoted, whole)))
+        matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()  # columns x columns
+        found = {(a, b): float(matrix[whole.index(a), whole.index(b)]) for a, b in combinations(whole, 2)}
+    rest = [p for p in combinations(names, 2) if p not in found]
+    for start in range(0, len(rest), PAIRS_AT_ONCE):
+        part = rest[start : start + PAIRS_AT_ONCE]
+        row = data.selectExpr(*[f"corr({quoted(a)}, {quoted(b)}) AS c{i}" for i, (a, b) in enumerate(part)]).first()
+        found |= {pair: row[i] for i, pair in enumerate(part)}
+    rows = [(a, b, None if v is None or math.isnan(v) else v) for (a, b), v in found.items()]
+    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
 
 
 def _stacked(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules
 from ..schema import RAW_COLUMNS
-from ..sources.tables import loans
+from ..sources.tables import derive_loans as loans
 from .catalog import on_loans, query, tidy
 
 SUMMARY_SQL = """count(*) AS loans, round(avg(LoanApproved), 6) AS approval_rate,

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import rules
 from ..schema import EDUCATION, HOME, LABELS, MARITAL, RAW_COLUMNS
-from ..session import configure, settle
+from ..session import configure, fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +22,7 @@ def _pick(index: str, values: tuple[str, ...]) -> str:
     return f"elt(int({index}) + 1, {', '.join(repr(v) for v in values)})"
 
 
-def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One application per order.
 
     Line items are folded to one row per order before the join, so a hot order costs one
@@ -90,12 +94,36 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applications.select("row_id", *RAW_COLUMNS, "MaritalStatus", *LABELS)
 
 
-def loans_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same applications as a landed table of text, with defects keyed by ``row_id``.
+_landed: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
-    It is written first, as raw data would be: checks then read plain columns instead of
-    pushing their conditions through the formulas the rows were derived with.
+
+def _land(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
+    """The derived table, written once per application to the shared folder.
+
+    Jobs then scan plain columns. Conditions on them reach the Parquet scan instead of being
+    pushed, and multiplied, through the formulas the rows were derived with.
     """
+    place = (spark.sparkContext.applicationId, sf_dir, name)
+    if place in _landed:
+        path, schema = _landed[place]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # the folder was cleared
+            pass
+    df, path = derive(), fresh_path(spark, name)
+    df.write.parquet(path)
+    _landed[place] = (path, df.schema)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed loan table; ``derive_loans`` has its definition."""
+    configure(spark)
+    return _land(spark, sf_dir, "loans", lambda: derive_loans(spark, sf_dir))
+
+
+def loans_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same applications as a landed table of text, with defects keyed by ``row_id``."""
 
     def seeded(name: str, modulus: int, values: dict[int, str]) -> str:
         whens = " ".join(f"WHEN {remainder} THEN {value}" for remainder, value in values.items())
@@ -110,7 +138,6 @@ def loans_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         "MonthlyIncome": (127, {6: "'0'"}),
     }
     columns = [*RAW_COLUMNS, "MaritalStatus"]
-    landed = loans(spark, sf_dir).selectExpr(
-        "row_id", *[seeded(c, *defects[c]) if c in defects else f"string({c}) AS {c}" for c in columns]
-    )
-    return settle(landed, "landed")
+    shown = [seeded(c, *defects[c]) if c in defects else f"string({c}) AS {c}" for c in columns]
+    clean = loans(spark, sf_dir)
+    return _land(spark, sf_dir, "loans_dirty", lambda: clean.selectExpr("row_id", *shown))
