@@ -20,7 +20,7 @@ def _numbers(df: DataFrame, columns: list[str] | None) -> list[str]:
     return numeric_columns(df) if columns is None else columns
 
 
-def _doubles(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+def doubles(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     """The columns as doubles, NaN taken as missing."""
     return df.select(*keep, *[F.expr(f"nanvl(double({quoted(c)}), NULL)").alias(c) for c in columns])
 
@@ -56,7 +56,7 @@ def _stats_table(df: DataFrame, stats: dict[str, dict[str, float]]) -> DataFrame
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of numeric columns."""
     names = _numbers(df, columns)
-    data = _doubles(df, names)
+    data = doubles(df, names)
     stats = _collect_stats(
         data, names, {"count": "count({0})", "mean": "avg({0})", "std": "stddev_samp({0})", "min": "min({0})", "max": "max({0})"}
     )
@@ -86,7 +86,7 @@ def value_counts(df: DataFrame, column: str, normalize: bool = False) -> DataFra
 def target_correlation(df: DataFrame, target: str, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every numeric column with the target, in one aggregation."""
     names = [c for c in _numbers(df, columns) if c != target]
-    totals = _doubles(df, [*names, target]).agg(*[F.corr(quoted(c), quoted(target)).alias(c) for c in names])
+    totals = doubles(df, [*names, target]).agg(*[F.corr(quoted(c), quoted(target)).alias(c) for c in names])
     return long_table(totals, [{"column_name": f"'{c}'", "correlation": quoted(c)} for c in names])
 
 
@@ -100,7 +100,7 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     are aggregated some at a time. The result holds one row per pair of columns.
     """
     names = _numbers(df, columns)
-    data = _doubles(df, names)
+    data = doubles(df, names)
     gaps = _collect_stats(data, names, {"missing": "count_if({0} IS NULL)", "count": "count({0})"})
     whole = [c for c in names if not gaps[c]["missing"] and gaps[c]["count"] > 1]
     found = {}
@@ -119,7 +119,7 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 def _stacked(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     """(keep..., column_name, value) of the non-null cells, values as doubles."""
-    return _doubles(df, columns, *keep).unpivot(list(keep), columns, "column_name", "value").dropna(subset=["value"])
+    return doubles(df, columns, *keep).unpivot(list(keep), columns, "column_name", "value").dropna(subset=["value"])
 
 
 def column_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -128,7 +128,7 @@ def column_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     Cells are folded to distinct values before anything is ordered; ordered buckets are
     ranked in parallel and shifted by the bucket totals, at most 2 x BUCKETS per column.
     """
-    data = _doubles(df, columns)
+    data = doubles(df, columns)
     edges = ordered_edges(data, columns)
     found = Bucketizer(
         splitsArray=[edges[c] for c in columns], inputCols=columns, outputCols=[f"{c} bucket" for c in columns],
@@ -169,14 +169,14 @@ def spearman_matrix(df: DataFrame, columns: list[str], key: str = "row_id") -> D
     return pearson_matrix(ranks, columns)
 
 
-def _bin_expr(column: str, low: float, high: float, bins: int) -> str:
+def bin_expr(column: str, low: float, high: float, bins: int) -> str:
     """Equal-width bin from 1; the upper edge belongs to the last bin."""
     if low == high:
         return f"IF({quoted(column)} IS NULL, NULL, 1L)"
     return f"least(width_bucket({quoted(column)}, double('{low!r}'), double('{high!r}'), {bins}), {bins})"
 
 
-def _ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+def column_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     stats = _collect_stats(df, columns, {"low": "min({0})", "high": "max({0})"})
     return {c: (s["low"], s["high"]) for c, s in stats.items()}
 
@@ -190,8 +190,8 @@ def cramers_v(df: DataFrame, categorical: list[str], numeric: list[str] = (), bi
     numeric = list(numeric)
     data = df
     if numeric:
-        ranges = _ranges(_doubles(df, numeric), numeric)
-        data = df.withColumns({c: F.expr(_bin_expr(c, *ranges[c], bins)) for c in numeric})
+        ranges = column_ranges(doubles(df, numeric), numeric)
+        data = df.withColumns({c: F.expr(bin_expr(c, *ranges[c], bins)) for c in numeric})
     pairs = [(a, b) for a, b in combinations([*categorical, *numeric], 2) if a in categorical]
     cells = ", ".join(
         f"named_struct('column_a', '{a}', 'column_b', '{b}', 'la', string({quoted(a)}), 'lb', string({quoted(b)}))"
@@ -236,15 +236,15 @@ def association_matrix(df: DataFrame, numeric: list[str], categorical: list[str]
 def target_interactions(df: DataFrame, target: str, columns: list[str], bins: int = 10) -> DataFrame:
     """Rows and mean target per (feature bin, target bin) of each feature: the data of a
     scatter plot, at a size that does not grow with the rows."""
-    data = _doubles(df, [*columns, target])
-    ranges = _ranges(data, [*columns, target])
+    data = doubles(df, [*columns, target])
+    ranges = column_ranges(data, [*columns, target])
     cells = ", ".join(
-        f"named_struct('column_name', '{c}', 'feature_bin', {_bin_expr(c, *ranges[c], bins)})" for c in columns
+        f"named_struct('column_name', '{c}', 'feature_bin', {bin_expr(c, *ranges[c], bins)})" for c in columns
     )
     return (
         data.select(
             F.col(quoted(target)).alias("t"),
-            F.expr(_bin_expr(target, *ranges[target], bins)).alias("target_bin"),
+            F.expr(bin_expr(target, *ranges[target], bins)).alias("target_bin"),
             F.expr(f"inline(array({cells}))"),
         )
         .groupBy("column_name", "feature_bin", "target_bin")
@@ -292,7 +292,7 @@ def monotonic_profile(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     Neighbours are compared inside ordered buckets; the buckets' first and last rows
     (at most 2 x BUCKETS of them) are then compared with each other.
     """
-    data = _doubles(df, columns, F.col(quoted(key)).cast("double").alias("order key"))
+    data = doubles(df, columns, F.col(quoted(key)).cast("double").alias("order key"))
     dealt = ordered_buckets(data, "order key", BUCKETS).drop("alone")
     inside = Window.partitionBy("bucket").orderBy("order key")
     steps = dealt.withColumns({f"{c} before": F.lag(quoted(c)).over(inside) for c in columns})
@@ -329,7 +329,7 @@ def variable_profile(df: DataFrame, key: str, columns: list[str] | None = None)
     """Full numeric profile, one row per column: counts, moments, exact quantiles, deviation
     from the median, adjusted skewness and excess kurtosis, distinct values, monotonicity."""
     names = [c for c in _numbers(df, columns) if c != key]
-    data = _doubles(df, names)
+    data = doubles(df, names)
     stats = _collect_stats(data, names, PROFILE_STATS)
     counts = {c: s["count"] for c, s in stats.items()}
     quantiles = exact_quantiles(data, names, [0.05, *QUARTILES, 0.95], counts=counts)
@@ -414,10 +414,10 @@ def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS, low: float =
     """Rows per equal-width bin, empty bins included; values off the axis are not drawn."""
     if not FEWEST_BINS <= bins <= MOST_BINS:
         raise ValueError(f"bins must be between {FEWEST_BINS} and {MOST_BINS}")
-    value = _doubles(df, [column])
+    value = doubles(df, [column])
     counts = (
         value.filter(F.col(quoted(column)).between(low, high))
-        .select(F.expr(_bin_expr(column, low, high, bins)).alias("bin"))
+        .select(F.expr(bin_expr(column, low, high, bins)).alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -433,7 +433,7 @@ def box_stats(df: DataFrame, column: str) -> DataFrame:
     q1, q2, q3 = exact_quantiles(df, [column], QUARTILES)[column]
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     c = F.col(quoted(column))
-    return _doubles(df, [column]).agg(
+    return doubles(df, [column]).agg(
         F.lit(q1).alias("q1"), F.lit(q2).alias("median"), F.lit(q3).alias("q3"),
         F.lit(low).alias("lower_fence"), F.lit(high).alias("upper_fence"),
         F.min(F.when(c >= low, c)).alias("lower_whisker"),
@@ -452,7 +452,7 @@ def box_outliers(df: DataFrame, column: str) -> DataFrame:
 
 def flag_outliers(df: DataFrame, columns: list[str], z_limit: float = 3.0, domain: dict[str, tuple] | None = None) -> DataFrame:
     """Adds per column: beyond the IQR fences, beyond ``z_limit`` deviations, out of its domain."""
-    data = _doubles(df, columns)
+    data = doubles(df, columns)
     stats = _collect_stats(data, columns, {"count": "count({0})", "mean": "avg({0})", "std": "stddev_samp({0})"})
     quartiles = exact_quantiles(data, columns, [0.25, 0.75], counts={c: s["count"] for c, s in stats.items()})
     flags = {}
@@ -472,7 +472,7 @@ def flag_outliers(df: DataFrame, columns: list[str], z_limit: float = 3.0, domai
 def quick_stats(df: DataFrame, column: str) -> DataFrame:
     """Mean, exact median and population deviation of a score."""
     median = exact_quantiles(df, [column], [0.5])[column][0]
-    return _doubles(df, [column]).agg(
+    return doubles(df, [column]).agg(
         F.avg(quoted(column)).alias("mean"),
         F.lit(median).cast("double").alias("median"),
         F.stddev_pop(quoted(column)).alias("std"),
