@@ -284,7 +284,8 @@ class TypeOptimizer(_Json, Estimator):
         for c in real:
             x = f"double({quoted(c)})"
             narrow = f"double(float({quoted(c)}))"
-            near = f"{x} = {narrow} OR abs({x} - {narrow}) <= {FLOAT_TOLERANCE} + {FLOAT_TOLERANCE} * abs({narrow})"
+            close = f"abs({x} - {narrow}) <= {FLOAT_TOLERANCE} + {FLOAT_TOLERANCE} * abs({narrow})"
+            near = f"{x} = {narrow} OR (abs({narrow}) < double('inf') AND {close})"
             lost = f"{quoted(c)} IS NOT NULL AND NOT isnan({x}) AND NOT ({near})"
             aggs.append(F.expr(f"IF(count_if({lost}) = 0, 'float', 'double')").alias(f"type {c}"))
         row = df.agg(*aggs).first().asDict()

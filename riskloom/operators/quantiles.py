@@ -43,27 +43,31 @@ def order_statistics(
     # (column, rank) -> bracket [low, high], rows below it, rows inside it
     state = {(c, r): (None, None, 0, rows[c]) for c, ranks in wanted.items() for r in ranks if rows[c]}
     while state:
-        aggs, readers = [], []
-        for i, ((c, rank), (low, high, below, inside)) in enumerate(state.items()):
+        # Ranks that still share a bracket are answered by one aggregate.
+        shared: dict[tuple, list[int]] = {}
+        for (c, rank), bracket in state.items():
+            shared.setdefault((c, bracket), []).append(rank)
+        aggs = []
+        for i, ((c, (low, high, below, inside)), ranks) in enumerate(shared.items()):
             where = "" if low is None else f" FILTER (WHERE {quoted(c)} BETWEEN {_lit(low)} AND {_lit(high)})"
             value = f"double({quoted(c)})"
             if inside <= small:
-                aggs.append(
-                    f"percentile_disc({_disc(rank - below, inside)}) WITHIN GROUP (ORDER BY {value}){where} AS v{i}"
-                )
-                readers.append(((c, rank), True))
+                shares = ", ".join(f"{_disc(rank - below, inside)}D" for rank in ranks)
+                aggs.append(f"percentile_disc(array({shares})) WITHIN GROUP (ORDER BY {value}){where} AS v{i}")
             else:
-                share, margin = (rank - below + 0.5) / inside, 2.0 / accuracy
-                near = f"array({max(share - margin, 0.0)!r}D, {min(share + margin, 1.0)!r}D)"
-                aggs.append(f"percentile_approx({value}, {near}, {accuracy}){where} AS v{i}")
-                readers.append(((c, rank), False))
+                near, margin = [], 2.0 / accuracy
+                for rank in ranks:
+                    share = (rank - below + 0.5) / inside
+                    near += [f"{max(share - margin, 0.0)!r}D", f"{min(share + margin, 1.0)!r}D"]
+                aggs.append(f"percentile_approx({value}, array({', '.join(near)}), {accuracy}){where} AS v{i}")
         answer = df.selectExpr(*aggs).first()
         open_brackets = {}
-        for i, (key, exact) in enumerate(readers):
-            if exact:
-                found[key] = float(answer[f"v{i}"])
-            else:
-                open_brackets[key] = answer[f"v{i}"]
+        for i, ((c, (*_, inside)), ranks) in enumerate(shared.items()):
+            for j, rank in enumerate(ranks):
+                if inside <= small:
+                    found[c, rank] = float(answer[f"v{i}"][j])
+                else:
+                    open_brackets[c, rank] = answer[f"v{i}"][2 * j : 2 * j + 2]
         state = _confirm(df, open_brackets, state, found)
     return found
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join partition even when that costs one more shuffle later.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Past 8000 bytes the JVM no longer compiles a method; wide checks run faster unfused.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -31,6 +34,8 @@ def local_session(cpus: str = "*", app: str = "riskloom", shuffle_partitions: in
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
+        # Small tables would land as one file and keep one core busy.
+        .config("spark.sql.files.maxRecordsPerFile", "20000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -49,9 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="riskloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="riskloom-")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
