@@ -73,7 +73,10 @@ def order_statistics(
 
 
 def _confirm(df: DataFrame, brackets: dict, state: dict, found: dict) -> dict:
-    """Counts rows below and inside each proposed bracket and keeps what is proven."""
+    """Counts rows below, inside and on the ends of each proposed bracket, and keeps what is proven.
+
+    The ends are always settled or left out, so a very frequent value cannot hold a bracket open.
+    """
     if not brackets:
         return {}
     aggs = []
@@ -81,21 +84,26 @@ def _confirm(df: DataFrame, brackets: dict, state: dict, found: dict) -> dict:
         value = quoted(c)
         aggs.append(f"count_if({value} < {_lit(low)}) AS below{i}")
         aggs.append(f"count_if({value} BETWEEN {_lit(low)} AND {_lit(high)}) AS inside{i}")
+        aggs.append(f"count_if({value} = {_lit(low)}) AS low{i}")
+        aggs.append(f"count_if({value} = {_lit(high)}) AS high{i}")
     counts = df.selectExpr(*aggs).first()
     still = {}
     for i, (key, (low, high)) in enumerate(brackets.items()):
-        below, inside = counts[f"below{i}"], counts[f"inside{i}"]
+        below, inside, at_low, at_high = (counts[f"{name}{i}"] for name in ("below", "inside", "low", "high"))
         old_low, old_high, old_below, old_inside = state[key]
-        rank = key[1]
+        rank, after_low, before_high = key[1], math.nextafter(low, math.inf), math.nextafter(high, -math.inf)
         if rank < below:  # the sketch overshot: everything from the old start up to just below
-            still[key] = (-math.inf if old_low is None else old_low, math.nextafter(low, -math.inf), old_below, below - old_below)
+            start = -math.inf if old_low is None else old_low
+            still[key] = (start, math.nextafter(low, -math.inf), old_below, below - old_below)
         elif rank >= below + inside:  # undershot
-            start = math.nextafter(high, math.inf)
-            still[key] = (start, math.inf if old_high is None else old_high, below + inside, old_below + old_inside - below - inside)
-        elif low == high:
+            end = math.inf if old_high is None else old_high
+            still[key] = (math.nextafter(high, math.inf), end, below + inside, old_below + old_inside - below - inside)
+        elif rank < below + at_low:
             found[key] = float(low)
+        elif rank >= below + inside - at_high:
+            found[key] = float(high)
         else:
-            still[key] = (low, high, below, inside)
+            still[key] = (after_low, before_high, below + at_low, inside - at_low - at_high)
     return still
 
 

@@ -278,7 +278,7 @@ def duplicate_summary(spark, sf_dir):
 
 
 def histogram_sql(source, column, bins, low, high):
-    return f"""counted AS (SELECT CAST(least(floor(({column} - {low}) / (({high} - {low}) * 1E0) * {bins}) + 1, {bins})
+    return f"""counted AS (SELECT CAST(least(floor({bins} * ({column} - {low}) / (({high} - {low}) * 1E0)) + 1, {bins})
       AS BIGINT) AS bin, count(*) AS n FROM {source} WHERE {column} BETWEEN {low} AND {high} GROUP BY 1)
     SELECT i AS bin, round({low} + (i - 1) * (({high} - {low}) * 1E0 / {bins}), 6) AS bin_start,
       round({low} + i * (({high} - {low}) * 1E0 / {bins}), 6) AS bin_end, coalesce(n, 0) AS n
@@ -317,7 +317,7 @@ def box_events(spark, sf_dir):
 @query(
     "f12_box_outliers",
     on_loans(
-        """SELECT row_id, round(NetWorth, 6) AS NetWorth FROM loans, fences
+        """SELECT row_id, round(CAST(NetWorth AS DOUBLE), 6) AS NetWorth FROM loans, fences
         WHERE NetWorth < low OR NetWorth > high""",
         fences_cte("loans", "CAST(NetWorth AS DOUBLE)"),
     ),

@@ -23,7 +23,7 @@ def skewed(spark):
 PROBABILITIES = [0, 0.01, 0.25, 0.5, 0.75, 0.999, 1]
 
 
-@pytest.mark.parametrize("small,accuracy", [(10**6, 2000), (40, 20), (5, 50)])
+@pytest.mark.parametrize("small,accuracy", [(10**6, 2000), (40, 20), (5, 100)])
 def test_quantiles_are_exact_whatever_the_bracket(skewed, small, accuracy):
     df, pdf = skewed
     got = exact_quantiles(df, ["v", "w"], PROBABILITIES, small=small, accuracy=accuracy)
