@@ -105,8 +105,8 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     whole = [c for c in names if not gaps[c]["missing"] and gaps[c]["count"] > 1]
     found = {}
     if len(whole) > 1:
-        vectors = VectorAssembler(inputCols=whole, outputCol="v").transform(data.select(*map(quoted, whole)))
-        matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()  # columns x columns
+        vectors = VectorAssembler(inputCols=whole, outputCol="all columns").transform(data.select(*map(quoted, whole)))
+        matrix = Correlation.corr(vectors.select("all columns"), "all columns").first()[0].toArray()  # columns x columns
         found = {(a, b): float(matrix[whole.index(a), whole.index(b)]) for a, b in combinations(whole, 2)}
     rest = [p for p in combinations(names, 2) if p not in found]
     for start in range(0, len(rest), PAIRS_AT_ONCE):
