@@ -417,3 +417,27 @@ def processed_contract(spark, sf_dir):
     return rows.groupBy("field", "code").agg(
         F.count(F.lit(1)).alias("violations"), F.min(F.col("value").cast("bigint")).alias("lowest")
     )
+
+
+@query(
+    "c20_target_numeric",
+    on_loans(
+        """SELECT 'RiskScore' AS column_name, count(RiskScore) AS count, round(avg(RiskScore), 6) AS mean,
+        round(stddev_samp(RiskScore), 6) AS std, round(min(RiskScore), 6) AS min,
+        round(quantile_cont(RiskScore, 25E-2), 6) AS p25, round(quantile_cont(RiskScore, 5E-1), 6) AS p50,
+        round(quantile_cont(RiskScore, 75E-2), 6) AS p75, round(max(RiskScore), 6) AS max FROM loans"""
+    ),
+)
+def target_numeric(spark, sf_dir):
+    return tidy(quality.target_check(loans(spark, sf_dir), "RiskScore"))
+
+
+@query(
+    "c20_target_shares",
+    on_loans(
+        """SELECT LoanPurpose AS value, round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM loans), 6) AS share
+        FROM loans GROUP BY LoanPurpose"""
+    ),
+)
+def target_shares(spark, sf_dir):
+    return tidy(quality.target_check(loans(spark, sf_dir), "LoanPurpose"))
