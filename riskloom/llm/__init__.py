@@ -1,4 +1,4 @@
 """Operators for training-data corpora, each with its query."""
 
 from .common import ORACLES, QUERIES  # noqa: F401
-from . import decontaminate  # noqa: F401
+from . import decontaminate, simhash  # noqa: F401
