@@ -1,4 +1,4 @@
 """Operators for training-data corpora, each with its query."""
 
 from .common import ORACLES, QUERIES  # noqa: F401
-from . import bpe, decontaminate, lattice, sharding, simhash  # noqa: F401
+from . import bpe, decontaminate, lattice, lines, sharding, simhash  # noqa: F401
