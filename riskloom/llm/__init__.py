@@ -1,4 +1,4 @@
 """Operators for training-data corpora, each with its query."""
 
 from .common import ORACLES, QUERIES  # noqa: F401
-from . import bpe, decontaminate, langid, lattice, lines, pii, sharding, simhash, toxicity  # noqa: F401
+from . import bpe, decontaminate, langid, lattice, lines, pii, secrets, sharding, simhash, toxicity  # noqa: F401
