@@ -111,9 +111,8 @@ def battery(token: Column) -> Column:
         high = F.transform(v, lambda x: (x >= k / 2).cast("double"))
         changed = let(high, lambda h: F.struct(add(h).alias("ones"), add(pairs(h, lambda a, b: F.abs(a - b))).alias("moves")))
         runs = let(changed, lambda c: _runs(n, c["ones"], c["moves"] + 1))
-        mean = add(v) / n
         serial = let(
-            F.transform(v, lambda x: x - mean),
+            let(add(v) / n, lambda mean: F.transform(v, lambda x: x - mean)),
             lambda e: F.when(
                 add(F.transform(e, lambda x: x * x)) > 0,
                 (add(pairs(e, lambda a, b: a * b)) / add(F.transform(e, lambda x: x * x)) + 1 / n) * F.sqrt(n),
