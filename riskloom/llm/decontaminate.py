@@ -71,10 +71,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
         start = F.when(F.col("at") >= passed, F.col("at") - passed).otherwise(start)
         length = F.when(F.col("at") >= passed, F.lit(n)).otherwise(length)
         passed = passed + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
-    known = F.broadcast(windows) if total <= BROADCAST_WINDOWS else windows
-    same = F.slice("words", start + 1, F.greatest(length, F.lit(1))) == known["gram"]
+    own = F.slice("words", start + 1, F.greatest(length, F.lit(1)))
+    if total <= BROADCAST_WINDOWS:
+        # Rows stay where they are; only equal hashes are looked at word by word.
+        known, same = F.broadcast(windows), own == windows["gram"]
+    else:
+        # Rows are shuffled, each with its own words only.
+        rows = rows.select("doc_id", "key", "n_words", "at", "h", own.alias("own"))
+        known, same = windows, rows["own"] == windows["gram"]
     found = (
-        rows.join(known, (rows["h"] == known["h"]) & same, "left")
+        rows.join(known, (rows["h"] == windows["h"]) & same, "left")
         .where((F.col("at") == 0) | F.col("gram").isNotNull())
         .select(
             "doc_id", "key", "n_words", (F.col("at") == 0).cast("int").alias("is_doc"), "items",

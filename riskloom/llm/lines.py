@@ -122,10 +122,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     with one of our names. Null texts stay null; a text whose lines all go is empty; rows that repeat both
     id and text are one place and share their result. An empty table gives an empty result.
     """
-    cuts = removals(docs).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "cuts")
+    cuts = removals(docs).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("cuts").alias("__cuts"))
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["__id"]) & (_key(docs["text"]) == cuts["__key"]), "left")
     kept = let(
-        F.struct(_lines(docs["text"]).alias("lines"), F.col("cuts").alias("cuts")),
+        F.struct(_lines(docs["text"]).alias("lines"), F.col("__cuts").alias("cuts")),
         lambda d: F.array_join(
             F.filter(
                 d["lines"],
@@ -134,8 +134,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             BREAK,
         ),
     )
-    removed = F.aggregate("cuts", F.lit(0).cast("long"), lambda n, c: n + c["n_lines"])
-    text = F.when(F.col("cuts").isNull(), docs["text"]).otherwise(kept)
+    removed = F.aggregate("__cuts", F.lit(0).cast("long"), lambda n, c: n + c["n_lines"])
+    text = F.when(F.col("__cuts").isNull(), docs["text"]).otherwise(kept)
     return joined.select(
         *[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.size(_lines(docs["text"])).cast("long").alias("n_lines"),
