@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import landed, let, query, table
 
-# A boundary falls after one line in DIVISOR, chosen by the rolling hash of it and the line before.
-DIVISOR = 4
+# The rolling hash of a line and the one before it, modulo a prime.
+FACTOR, PRIME = 31, 4294967291
 # A line of so many words is a chunk of its own; a chunk of several lines needs the lower number.
 LONG_WORDS = 50
 CHUNK_WORDS = 12
@@ -39,9 +39,10 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """``doc_id, key, start, n_lines, hash, owner``: chunks of lines that occur more than once.
 
     Chunks are cut from runs of lines that all occur elsewhere: at the ends of the run, around
-    long lines, and where the rolling hash over the last two line hashes says so. A place that is
-    inserted or lost moves no boundary beyond the next one. ``owner`` marks the first place of the
-    chunk, by doc_id (nulls last), text digest and line.
+    long lines, and after each line whose rolling hash (of it and the line before) is below that
+    of its neighbours. Lines inserted or lost move only the boundaries next to them, and every line of
+    a run of short lines is in a chunk of at least two. ``owner`` marks the first place of the chunk, by
+    doc_id (nulls last), text digest and line.
 
     Lines travel as digests. Line and chunk counts are combined before the shuffle; lines that occur
     once go no further than their count.
@@ -51,20 +52,19 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     rows = rows.join(often, "h", "left_semi").dropDuplicates(["doc_id", "key", "pos"])
     place = Window.partitionBy("doc_id", "key").orderBy("pos")
+    long = F.col("words") >= LONG_WORDS
+    gap = F.coalesce(F.col("pos") != F.lag("pos").over(place) + 1, F.lit(True))
     rows = rows.select(
         "*",
-        F.coalesce(F.col("pos") != F.lag("pos").over(place) + 1, F.lit(True)).alias("opens"),
-        (F.col("words") >= LONG_WORDS).alias("long"),
+        (gap | long | F.coalesce(F.lag(long).over(place), F.lit(False))).alias("opens"),
         F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long").alias("a"),
     )
-    rolled = F.col("a") + 31 * F.when(F.col("opens"), 0).otherwise(F.lag("a").over(place))
-    rows = rows.select("*", (rolled % DIVISOR == 0).alias("closes"))
-    cut = (
-        F.col("opens")
-        | F.col("long")
-        | F.coalesce(F.lag("long").over(place), F.lit(False))
-        | F.coalesce(F.lag("closes").over(place), F.lit(False))
-    )
+    before = F.when(F.col("opens"), 0).otherwise(F.lag("a").over(place))
+    rows = rows.select("*", ((F.col("a") + FACTOR * before) % PRIME).alias("rolled"))
+    more = lambda k: ~F.coalesce(F.lead("opens", k).over(place), F.lit(True))
+    low = (F.col("rolled") < F.lag("rolled").over(place)) & (F.col("rolled") <= F.lead("rolled").over(place))
+    rows = rows.select("*", (~F.col("opens") & more(1) & more(2) & low).alias("closes"))
+    cut = F.col("opens") | F.coalesce(F.lag("closes").over(place), F.lit(False))
     rows = rows.select("*", cut.cast("int").alias("cut"))
     chunk = F.sum("cut").over(place.rowsBetween(Window.unboundedPreceding, 0)).alias("chunk")
     rows = rows.select("doc_id", "key", chunk, "pos", "h", "words")
@@ -149,15 +149,17 @@ lines AS (SELECT r, doc_id, t, unnest(string_split(t, chr(10))) AS line,
                  unnest(range(len(string_split(t, chr(10))))) AS pos FROM raw),
 often AS (SELECT line FROM lines GROUP BY line HAVING count(*) > 1),
 one AS (SELECT DISTINCT doc_id, t, line, pos FROM lines WHERE line IN (SELECT line FROM often)),
-w AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 >= {LONG_WORDS} AS long,
-        length(line) - length(replace(line, ' ', '')) + 1 AS words,
-        CAST(concat('0x', substr(md5(line), 1, 8)) AS BIGINT) AS a,
-        coalesce(pos <> lag(pos) OVER p + 1, true) AS opens
-      FROM one WINDOW p AS (PARTITION BY doc_id, t ORDER BY pos)),
-x AS (SELECT *, (a + 31 * CASE WHEN opens THEN 0 ELSE lag(a) OVER p END) % {DIVISOR} = 0 AS closes,
-        coalesce(lag(long) OVER p, false) AS after_long
+w AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words,
+        CAST(concat('0x', substr(md5(line), 1, 8)) AS BIGINT) AS a FROM one),
+v AS (SELECT *, coalesce(pos <> lag(pos) OVER p + 1, true) OR words >= {LONG_WORDS}
+        OR coalesce(lag(words) OVER p >= {LONG_WORDS}, false) AS opens
       FROM w WINDOW p AS (PARTITION BY doc_id, t ORDER BY pos)),
-y AS (SELECT *, opens OR long OR after_long OR coalesce(lag(closes) OVER p, false) AS cut
+u AS (SELECT *, (a + {FACTOR} * CASE WHEN opens THEN 0 ELSE lag(a) OVER p END) % {PRIME} AS rolled
+      FROM v WINDOW p AS (PARTITION BY doc_id, t ORDER BY pos)),
+x AS (SELECT *, NOT opens AND NOT coalesce(lead(opens) OVER p, true) AND NOT coalesce(lead(opens, 2) OVER p, true)
+        AND rolled < lag(rolled) OVER p AND rolled <= lead(rolled) OVER p AS closes
+      FROM u WINDOW p AS (PARTITION BY doc_id, t ORDER BY pos)),
+y AS (SELECT *, opens OR coalesce(lag(closes) OVER p, false) AS cut
       FROM x WINDOW p AS (PARTITION BY doc_id, t ORDER BY pos)),
 z AS (SELECT *, sum(cut::INT) OVER (PARTITION BY doc_id, t ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chunk FROM y),
 chunks AS (SELECT doc_id, t, chunk, min(pos) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS body
