@@ -19,10 +19,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def literal(text: str) -> str:
+    """SQL text of a string, whatever it holds."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def long_table(totals: DataFrame, entries: list[dict[str, str]]) -> DataFrame:
     """Turns a one-row table into one row per entry; values are SQL over its columns."""
     rows = ", ".join(
-        "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in entry.items()) + ")" for entry in entries
+        "named_struct(" + ", ".join(f"{literal(name)}, {sql}" for name, sql in entry.items()) + ")" for entry in entries
     )
     return totals.selectExpr(f"inline(array({rows}))")
 

@@ -8,12 +8,11 @@ from pyspark.sql import types as T
 
 from ..functions.parsing import FOREIGN, parse_date, parse_double, parse_long, tidy_text
 from ..schema import Field
-from .columns import quoted
+from .columns import literal, quoted
 
 VIOLATIONS = "violations"
-LONG_LIMIT = "9.2E18D"  # whole numbers beyond this do not fit a bigint
-
-
+# Doubles below 2^63 fit a bigint; digits that round up to it are read as digits.
+LONG_LIMIT = "9223372036854775808D"
 
 
 def folded(level: str, fold: str) -> str:
@@ -65,7 +64,7 @@ def _checked_value(field: Field, source: T.DataType) -> str:
     name = quoted(field.name)
     if field.kind == "enum":
         text = f"translate(lower({name}), '-', '_')" if field.fold == "dash" else f"lower(trim({name}))"
-        listed = ", ".join(f"'{folded(v, field.fold)}'" for v in field.levels)
+        listed = ", ".join(literal(folded(v, field.fold)) for v in field.levels)
         return f"IF({text} IN ({listed}), 1, NULL)"
     if field.kind == "text":
         return name
@@ -76,7 +75,10 @@ def _checked_value(field: Field, source: T.DataType) -> str:
     else:
         value = f"try_cast(translate(trim({name}), '{FOREIGN}', '{'#' * len(FOREIGN)}') AS DOUBLE)"
     if field.kind == "int":
-        return f"IF({value} = floor({value}) AND abs({value}) < {LONG_LIMIT}, {value}, NULL)"
+        fits = f"abs({value}) < {LONG_LIMIT}"
+        if not isinstance(source, T.NumericType):
+            fits = f"({fits} OR (instr({name}, '.') = 0 AND try_cast({name} AS BIGINT) IS NOT NULL))"
+        return f"IF({value} = floor({value}) AND {fits}, {value}, NULL)"
     return value
 
 
@@ -108,7 +110,7 @@ def broken_fields(df: DataFrame, contract: list[Field]) -> str:
 def _findings(df: DataFrame, contract: list[Field]) -> str:
     """SQL array with one entry per field, broken or not."""
     entries = [
-        f"named_struct('field', '{f.name}', 'code', {violation_code(f, kind)}, 'value', string({quoted(f.name)}))"
+        f"named_struct('field', {literal(f.name)}, 'code', {violation_code(f, kind)}, 'value', string({quoted(f.name)}))"
         for f, kind in _kinds(df, contract).items()
     ]
     return f"array({', '.join(entries)})"
@@ -197,7 +199,7 @@ def business_errors(df: DataFrame, rules: list[Field], key: str = "row_id") -> D
         if f.name in df.columns:
             broken, message = rule_message(f)
             entries.append(
-                f"IF({broken}, named_struct('column_name', '{f.name}', 'value', double({quoted(f.name)}),"
+                f"IF({broken}, named_struct('column_name', {literal(f.name)}, 'value', double({quoted(f.name)}),"
                 f" 'message', '{message}'), NULL)"
             )
     return df.select(key, F.expr(f"inline(array_compact(array({', '.join(entries)})))"))
@@ -225,10 +227,10 @@ def upload_report(
         *[F.expr(f"count_if({rule_message(f)[0]}) AS `error {f.name}`") for f in checked],
         *[F.expr(f"count_if({quoted(c)} IS NULL) AS `null {c}`") for c in columns],
     )
-    errors = [f"named_struct('section', 'errors', 'name', '{f.name}', 'amount', `error {f.name}`)" for f in checked]
-    nulls = [f"named_struct('section', 'missing_values', 'name', '{c}', 'amount', `null {c}`)" for c in columns]
+    errors = [f"named_struct('section', 'errors', 'name', {literal(f.name)}, 'amount', {quoted('error ' + f.name)})" for f in checked]
+    nulls = [f"named_struct('section', 'missing_values', 'name', {literal(c)}, 'amount', {quoted('null ' + c)})" for c in columns]
     warned = [
-        f"named_struct('section', 'warnings', 'name', '{c}', 'amount', bigint(`null {c}` > 0))" for c in columns
+        f"named_struct('section', 'warnings', 'name', {literal(c)}, 'amount', bigint({quoted('null ' + c)} > 0))" for c in columns
     ]
     broken = " + ".join(f"`error {f.name}`" for f in checked)
     valid = f"named_struct('section', 'is_valid', 'name', '', 'amount', bigint({broken} = 0))"

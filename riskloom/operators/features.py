@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.maths import safe_divide
 from ..schema import EDUCATION, RAW_COLUMNS
-from .columns import classify_columns, distinct_counts, long_table, numeric_columns, quoted
+from .columns import classify_columns, distinct_counts, literal, long_table, numeric_columns, quoted
 
 # ---- Fixed values: which columns the loan pipeline works on ----
 
@@ -129,7 +129,7 @@ def logical_size(df: DataFrame) -> DataFrame:
         sums.append(F.expr(f"bigint({size}) AS {quoted(c)}"))
     return long_table(
         df.agg(*sums),
-        [{"column_name": f"'{c}'", "column_type": f"'{kind}'", "bytes": quoted(c)} for c, kind in df.dtypes],
+        [{"column_name": literal(c), "column_type": literal(kind), "bytes": quoted(c)} for c, kind in df.dtypes],
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import long_table, numeric_columns, quoted
+from .columns import literal, long_table, numeric_columns, quoted
 from .quantiles import BUCKETS, ordered_buckets, ordered_edges, exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -87,7 +87,7 @@ def target_correlation(df: DataFrame, target: str, columns: list[str] | None = N
     """Pearson correlation of every numeric column with the target, in one aggregation."""
     names = [c for c in _numbers(df, columns) if c != target]
     totals = doubles(df, [*names, target]).agg(*[F.corr(quoted(c), quoted(target)).alias(c) for c in names])
-    return long_table(totals, [{"column_name": f"'{c}'", "correlation": quoted(c)} for c in names])
+    return long_table(totals, [{"column_name": literal(c), "correlation": quoted(c)} for c in names])
 
 
 PAIRS_AT_ONCE = 40  # pairs per aggregation; generated code grows with them
@@ -135,7 +135,7 @@ def column_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
         handleInvalid="keep",
     ).transform(data)
     cells = ", ".join(
-        f"named_struct('column_name', '{c}', 'bucket', int({quoted(c + ' bucket')}), 'value', {quoted(c)})" for c in columns
+        f"named_struct('column_name', {literal(c)}, 'bucket', int({quoted(c + ' bucket')}), 'value', {quoted(c)})" for c in columns
     )
     counts = (
         found.selectExpr(f"inline(array({cells}))")
@@ -194,7 +194,7 @@ def cramers_v(df: DataFrame, categorical: list[str], numeric: list[str] = (), bi
         data = df.withColumns({c: F.expr(bin_expr(c, *ranges[c], bins)) for c in numeric})
     pairs = [(a, b) for a, b in combinations([*categorical, *numeric], 2) if a in categorical]
     cells = ", ".join(
-        f"named_struct('column_a', '{a}', 'column_b', '{b}', 'la', string({quoted(a)}), 'lb', string({quoted(b)}))"
+        f"named_struct('column_a', {literal(a)}, 'column_b', {literal(b)}, 'la', string({quoted(a)}), 'lb', string({quoted(b)}))"
         for a, b in pairs
     )
     names = ["column_a", "column_b"]
@@ -239,7 +239,7 @@ def target_interactions(df: DataFrame, target: str, columns: list[str], bins: in
     data = doubles(df, [*columns, target])
     ranges = column_ranges(data, [*columns, target])
     cells = ", ".join(
-        f"named_struct('column_name', '{c}', 'feature_bin', {bin_expr(c, *ranges[c], bins)})" for c in columns
+        f"named_struct('column_name', {literal(c)}, 'feature_bin', {bin_expr(c, *ranges[c], bins)})" for c in columns
     )
     return (
         data.select(
@@ -316,7 +316,7 @@ def monotonic_profile(df: DataFrame, columns: list[str], key: str) -> DataFrame:
         totals,
         [
             {
-                "column_name": f"'{c}'",
+                "column_name": literal(c),
                 "rising": f"{quoted(c + ' gaps')} = 0 AND {quoted(c + ' fall')} >= 0",
                 "falling": f"{quoted(c + ' gaps')} = 0 AND {quoted(c + ' rise')} <= 0",
             }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import profile
-from .columns import long_table, numeric_columns, quoted
+from .columns import literal, long_table, numeric_columns, quoted
 from .quantiles import exact_quantiles
 
 ZERO_ALARM_PERCENT = 10  # fixed value: share of zeros that raises a flag
@@ -29,11 +29,11 @@ def column_audit(df: DataFrame, step: str | None = None) -> DataFrame:
     for c in df.columns:
         nulls, zeros = quoted("null " + c), quoted("zero " + c) if c in numbers else "0L"
         percent = f"IF(`n rows` = 0, 0D, 100D * {zeros} / `n rows`)"
-        entry = {"step": f"'{step}'"} if step else {}
+        entry = {"step": literal(step)} if step else {}
         entries.append(
             entry
             | {
-                "column_name": f"'{c}'",
+                "column_name": literal(c),
                 "missing": nulls,
                 "zeros": zeros,
                 "zero_percent": percent,

@@ -4,15 +4,16 @@ from pyspark.sql import functions as F
 from riskloom.operators import contracts
 from riskloom.schema import RAW_COLUMNS, RAW_CONTRACT, UPLOAD_RULES, text_schema
 
+# A row that keeps every rule, in the order of the contract.
 GOOD = dict(
-    ApplicationDate="2024-01-15", Age="35", AnnualIncome="75000.0", CreditScore="720", EmploymentStatus="Employed",
-    EducationLevel="Bachelor", Experience="10", LoanAmount="250000.0", LoanDuration="360", NumberOfDependents="2",
-    HomeOwnershipStatus="Mortgage", MonthlyDebtPayments="1500.0", CreditCardUtilizationRate="0.25",
-    NumberOfOpenCreditLines="5", NumberOfCreditInquiries="2", DebtToIncomeRatio="0.35", BankruptcyHistory="0",
-    LoanPurpose="Home", PreviousLoanDefaults="0", PaymentHistory="2", LengthOfCreditHistory="120",
-    SavingsAccountBalance="25000.0", CheckingAccountBalance="5000.0", TotalAssets="350000", TotalLiabilities="180000",
-    MonthlyIncome="6250.0", UtilityBillsPaymentHistory="0.95", JobTenure="60", NetWorth="170000",
-    BaseInterestRate="0.045", InterestRate="0.05", MonthlyLoanPayment="1200.0", TotalDebtToIncomeRatio="0.40",
+    ApplicationDate="2021-09-30", Age="52", AnnualIncome="48210.5", CreditScore="611", EmploymentStatus="Self-Employed",
+    EducationLevel="Associate", Experience="23", LoanAmount="18900", LoanDuration="48", NumberOfDependents="4",
+    HomeOwnershipStatus="Rent", MonthlyDebtPayments="333.25", CreditCardUtilizationRate="0.61",
+    NumberOfOpenCreditLines="3", NumberOfCreditInquiries="0", DebtToIncomeRatio="0.18", BankruptcyHistory="1",
+    LoanPurpose="Auto", PreviousLoanDefaults="1", PaymentHistory="27", LengthOfCreditHistory="9",
+    SavingsAccountBalance="812.75", CheckingAccountBalance="97", TotalAssets="64000", TotalLiabilities="71500",
+    MonthlyIncome="4017.54", UtilityBillsPaymentHistory="0.7", JobTenure="3", NetWorth="-7500",
+    BaseInterestRate="0.21", InterestRate="0.235", MonthlyLoanPayment="611.9", TotalDebtToIncomeRatio="0.235",
 )
 
 # (field, value, expected code or None)
@@ -23,6 +24,7 @@ CASES = [
     ("Age", "1d", "bad_type"), ("LoanAmount", "1e5", None), ("LoanAmount", "NaN", "bad_type"),
     ("LoanAmount", "0", "too_small"), ("LoanAmount", "-1", "too_small"), ("LoanAmount", None, "missing"),
     ("TotalAssets", "99999999999999999999", "bad_type"), ("NetWorth", "-5", None), ("NetWorth", "9007199254740993", None),
+    ("NetWorth", "9223372036854775807", None), ("NetWorth", "9223372036854775808", "bad_type"), ("NetWorth", "9210000000000000000", None),
     ("InterestRate", "1", None), ("InterestRate", "1.01", "too_large"), ("LoanDuration", "0", "too_small"),
     ("EmploymentStatus", "self_employed", None), ("EmploymentStatus", "SELF-EMPLOYED", None),
     ("EmploymentStatus", "self employed", "bad_level"), ("EmploymentStatus", " Employed", "bad_level"),
