@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.feature import Bucketizer, VectorAssembler
@@ -157,18 +158,33 @@ def column_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def spearman_matrix(df: DataFrame, columns: list[str], key: str = "row_id") -> DataFrame:
-    """Rank correlation of every pair over rows that hold all the columns.
-
-    Ranks are looked up per cell: a broadcast while the distinct values are few (adaptive
-    execution measures them), a skew-split sort-merge join when they are many.
-    """
-    whole = df.select(key, *[quoted(c) for c in columns]).dropna()
+def _whole_spearman(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """Rank correlations over rows that hold all the columns."""
+    whole = df.select(key, *[quoted(c) for c in columns]).dropna(subset=[quoted(c) for c in columns])
     cells = _stacked(whole, columns, key).join(column_ranks(whole, columns), ["column_name", "value"])
     ranks = cells.groupBy(key).pivot("column_name", columns).agg(F.first("rank"))
     return pearson_matrix(ranks, columns)
 
 
+def spearman_matrix(df: DataFrame, columns: list[str], key: str = "row_id") -> DataFrame:
+    """Rank correlation of every pair over the rows that hold both sides.
+
+    Columns without missing values are ranked once and share one matrix. A pair with a gappy side is
+    ranked among its own rows. Ranks are looked up per cell: a broadcast while the
+    distinct values are few (adaptive execution measures them), a skew-split sort-merge join
+    when they are many.
+    """
+    gaps = _collect_stats(doubles(df, columns), columns, {"missing": "count_if({0} IS NULL)"})
+    whole = [c for c in columns if not gaps[c]["missing"]]
+    parts = [_whole_spearman(df, whole, key)] if len(whole) > 1 else []
+    for a, b in combinations(columns, 2):
+        if a not in whole or b not in whole:
+            parts.append(_whole_spearman(df, [a, b], key))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def bin_expr(column: str, low: float, high: float, bins: int) -> str:
     """Equal-width bin from 1; the upper edge belongs to the last bin."""
     if low == high:
@@ -292,8 +308,9 @@ def monotonic_profile(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     Neighbours are compared inside ordered buckets; the buckets' first and last rows
     (at most 2 x BUCKETS of them) are then compared with each other.
     """
-    data = doubles(df, columns, F.col(quoted(key)).cast("double").alias("order key"))
-    dealt = ordered_buckets(data, "order key", BUCKETS).drop("alone")
+    # Doubles only choose the bucket; rows are ordered by the key itself, so long keys stay apart.
+    data = doubles(df, columns, F.col(quoted(key)).cast("double").alias("near key"), F.col(quoted(key)).alias("order key"))
+    dealt = ordered_buckets(data, "near key", BUCKETS).drop("alone")
     inside = Window.partitionBy("bucket").orderBy("order key")
     steps = dealt.withColumns({f"{c} before": F.lag(quoted(c)).over(inside) for c in columns})
     step = "{0} - {1}"
@@ -411,31 +428,52 @@ FEWEST_BINS, MOST_BINS, DEFAULT_BINS = 10, 100, 30
 
 
 def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS, low: float = SCORE_AXIS[0], high: float = SCORE_AXIS[1]) -> DataFrame:
-    """Rows per equal-width bin, empty bins included; values off the axis are not drawn."""
+    """Rows per equal-width bin, empty bins included.
+
+    Bin 0 holds the values below the axis and bin ``bins + 1`` those above it, each with one open end,
+    so the bins count every row that has a value.
+    """
     if not FEWEST_BINS <= bins <= MOST_BINS:
         raise ValueError(f"bins must be between {FEWEST_BINS} and {MOST_BINS}")
     value = doubles(df, [column])
     counts = (
-        value.filter(F.col(quoted(column)).between(low, high))
-        .select(F.expr(bin_expr(column, low, high, bins)).alias("bin"))
+        value.filter(F.col(quoted(column)).isNotNull())
+        .select(
+            F.when(F.col(quoted(column)) < low, 0)
+            .when(F.col(quoted(column)) > high, bins + 1)
+            .otherwise(F.expr(bin_expr(column, low, high, bins)))
+            .alias("bin")
+        )
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     width = (high - low) / bins
-    frame = df.sparkSession.range(1, bins + 1).selectExpr(
-        "id AS bin", f"{low}D + (id - 1) * {width!r}D AS bin_start", f"{low}D + id * {width!r}D AS bin_end"
+    frame = df.sparkSession.range(0, bins + 2).selectExpr(
+        "id AS bin",
+        f"IF(id > 0, {low}D + (id - 1) * {width!r}D, NULL) AS bin_start",
+        f"IF(id <= {bins}, {low}D + id * {width!r}D, NULL) AS bin_end",
     )
     return frame.join(F.broadcast(counts), "bin", "left").na.fill(0, ["n"])
 
 
+def _fences(q1: float | None, q3: float | None) -> tuple[float | None, float | None]:
+    if q1 is None or q3 is None:
+        return None, None
+    return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+
+
 def box_stats(df: DataFrame, column: str) -> DataFrame:
-    """Quartiles, 1.5-IQR fences, whiskers (the furthest values inside them), outlier count."""
+    """Quartiles, 1.5-IQR fences, whiskers (the furthest values inside them), outlier count.
+
+    A column without values has nulls and no outliers.
+    """
     q1, q2, q3 = exact_quantiles(df, [column], QUARTILES)[column]
-    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    low, high = _fences(q1, q3)
     c = F.col(quoted(column))
+    number = lambda v: F.lit(v).cast("double")
     return doubles(df, [column]).agg(
-        F.lit(q1).alias("q1"), F.lit(q2).alias("median"), F.lit(q3).alias("q3"),
-        F.lit(low).alias("lower_fence"), F.lit(high).alias("upper_fence"),
+        number(q1).alias("q1"), number(q2).alias("median"), number(q3).alias("q3"),
+        number(low).alias("lower_fence"), number(high).alias("upper_fence"),
         F.min(F.when(c >= low, c)).alias("lower_whisker"),
         F.max(F.when(c <= high, c)).alias("upper_whisker"),
         F.count_if((c < low) | (c > high)).alias("outliers"),
@@ -443,11 +481,11 @@ def box_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def box_outliers(df: DataFrame, column: str) -> DataFrame:
-    """The rows beyond the fences."""
+    """The rows beyond the fences; none without any value."""
     q1, _, q3 = exact_quantiles(df, [column], QUARTILES)[column]
-    spread = 1.5 * (q3 - q1)
+    low, high = _fences(q1, q3)
     c = F.col(quoted(column))
-    return df.filter((c < q1 - spread) | (c > q3 + spread))
+    return df.filter(F.lit(False) if low is None else (c < low) | (c > high))
 
 
 def flag_outliers(df: DataFrame, columns: list[str], z_limit: float = 3.0, domain: dict[str, tuple] | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .columns import quoted
 
-SMALL = 200_000  # rows in a bracket that one aggregation buffer may hold by value
+SMALL = 200_000  # rows in a bracket that one aggregation buffer may hold by value; never changes an answer
 ACCURACY = 2_000  # rank error of a sketch is about rows / ACCURACY
 BUCKETS = 256
 SPLITS = 64  # parts of a bucket that holds one very frequent value
@@ -111,7 +111,7 @@ def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float], small: int = SMALL, accuracy: int = ACCURACY,
     counts: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles, exact at any size. Columns without values give nulls.
+    """Linearly interpolated quantiles, exact at any size by one path. Columns without values give nulls.
 
     ``counts`` are the non-null counts, if the caller has them already.
     """
@@ -121,12 +121,6 @@ def exact_quantiles(
     if counts is None:
         counts = data.selectExpr(*[f"count({quoted(c)}) AS {quoted(c)}" for c in columns]).first().asDict()
     counts = {c: counts[c] for c in columns}
-    if max(counts.values()) <= small:
-        shares = ", ".join(f"{p!r}D" for p in probabilities)
-        return data.selectExpr(
-            *[f"percentile({quoted(c)}, array({shares})) AS {quoted(c)}" for c in columns]
-        ).first().asDict() | {c: [None] * len(probabilities) for c, n in counts.items() if n == 0}
-
     places = {c: [p * (n - 1) for p in probabilities] for c, n in counts.items() if n}
     wanted = {
         c: sorted({r for place in where for r in (math.floor(place), math.ceil(place))}) for c, where in places.items()
@@ -134,8 +128,12 @@ def exact_quantiles(
     values = order_statistics(data, wanted, counts, small, accuracy)
 
     def at(c: str, place: float) -> float:
-        low, high = values[c, math.floor(place)], values[c, math.ceil(place)]
-        return low + (high - low) * (place - math.floor(place))
+        low, high, part = values[c, math.floor(place)], values[c, math.ceil(place)], place - math.floor(place)
+        if not part or low == high:
+            return low
+        if math.isinf(low) or math.isinf(high):
+            return (1 - part) * low + part * high  # between the two infinities there is no value: NaN
+        return low + (high - low) * part
 
     return {c: [at(c, p) for p in places[c]] if c in places else [None] * len(probabilities) for c in columns}
 

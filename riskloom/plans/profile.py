@@ -126,6 +126,31 @@ def spearman_lineitem(spark, sf_dir):
     return tidy(ops.spearman_matrix(settle(lines, "lines"), _LINE_RANKED))
 
 
+_GAPPY = {
+    "nation": "c_nationkey",
+    "balance": "CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END",
+    "reversed": "CASE WHEN c_custkey % 2 = 0 THEN -c_acctbal END",
+}
+
+
+def _pair_ranks(a, b):
+    both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+    rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2E0"
+    return f"""SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr(ra, rb), 6) AS correlation FROM (
+      SELECT {rank.format(a)} AS ra, {rank.format(b)} AS rb FROM gappy WHERE {both})"""
+
+
+@query(
+    "f5_spearman_nulls",
+    f"""WITH gappy AS (SELECT c_custkey, {', '.join(f'{sql} AS {c}' for c, sql in _GAPPY.items())} FROM customer)
+    {union(_pair_ranks(a, b) for a, b in combinations(_GAPPY, 2))}""",
+)
+def spearman_nulls(spark, sf_dir):
+    """Every pair is ranked over the rows that hold both sides."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", *[f"{sql} AS {c}" for c, sql in _GAPPY.items()])
+    return tidy(ops.spearman_matrix(rows, list(_GAPPY), "c_custkey"))
+
+
 CATEGORIES = ["EmploymentStatus", "EducationLevel", "HomeOwnershipStatus", "LoanPurpose"]
 ASSOCIATED = ["CreditScore", "LoanAmount", "RiskScore"]
 
@@ -195,6 +220,8 @@ def profile_sql(source, key, columns):
         round({q(c, '5E-2')}, 6) AS p5, round({q(c, '25E-2')}, 6) AS p25, round({q(c, '5E-1')}, 6) AS p50,
         round({q(c, '75E-2')}, 6) AS p75, round({q(c, '95E-2')}, 6) AS p95,
         round({q(c, '75E-2')} - {q(c, '25E-2')}, 6) AS iqr, round(mad(CAST({c} AS DOUBLE)), 6) AS mad,
+        round(CAST(printf('%.8e', CAST(sum({c}) AS DOUBLE)) AS DOUBLE), 6) AS sum,
+        round(CAST(printf('%.8e', var_samp({c})) AS DOUBLE), 6) AS variance,
         count(DISTINCT {c}) AS distinct_values,
         (SELECT count(*) FROM (SELECT 1 FROM {source} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) = 1))
           AS unique_values,
@@ -207,23 +234,28 @@ def profile_sql(source, key, columns):
     )
 
 
+def nine_digits(df, *columns):
+    """Sums of reals differ in their last digits with the order of the rows."""
+    return df.withColumns({c: F.format_string("%.8e", F.col(c)).cast("double") for c in columns})
+
+
 PROFILED = ["AnnualIncome", "CreditScore", "LoanAmount", "DebtToIncomeRatio", "NumberOfDependents", "BankruptcyHistory", "RiskScore"]
 
 
 @query("f8_profile_loans", on_loans(profile_sql("loans", "row_id", PROFILED)))
 def profile_loans(spark, sf_dir):
     df = loans(spark, sf_dir).select("row_id", *PROFILED)
-    return tidy(ops.variable_profile(df, "row_id", PROFILED).drop("sum", "variance"))
+    return tidy(nine_digits(ops.variable_profile(df, "row_id", PROFILED), "sum", "variance"))
 
 
 @query("f8_profile_events", profile_sql("events", "event_id", ["user_id", "value"]))
 def profile_events(spark, sf_dir):
-    return tidy(ops.variable_profile(table(spark, sf_dir, "events"), "event_id").drop("sum", "variance"))
+    return tidy(nine_digits(ops.variable_profile(table(spark, sf_dir, "events"), "event_id"), "sum", "variance"))
 
 
 @query("f8_profile_customer", profile_sql("customer", "c_custkey", ["c_nationkey", "c_acctbal"]))
 def profile_customer(spark, sf_dir):
-    return tidy(ops.variable_profile(table(spark, sf_dir, "customer"), "c_custkey").drop("sum", "variance"))
+    return tidy(nine_digits(ops.variable_profile(table(spark, sf_dir, "customer"), "c_custkey"), "sum", "variance"))
 
 
 def frequent_sql(source, columns, k):
@@ -278,11 +310,13 @@ def duplicate_summary(spark, sf_dir):
 
 
 def histogram_sql(source, column, bins, low, high):
-    return f"""counted AS (SELECT CAST(least(floor({bins} * ({column} - {low}) / (({high} - {low}) * 1E0)) + 1, {bins})
-      AS BIGINT) AS bin, count(*) AS n FROM {source} WHERE {column} BETWEEN {low} AND {high} GROUP BY 1)
-    SELECT i AS bin, round({low} + (i - 1) * (({high} - {low}) * 1E0 / {bins}), 6) AS bin_start,
-      round({low} + i * (({high} - {low}) * 1E0 / {bins}), 6) AS bin_end, coalesce(n, 0) AS n
-    FROM range(1, {bins + 1}) t(i) LEFT JOIN counted ON bin = i"""
+    return f"""counted AS (SELECT CAST(CASE WHEN {column} < {low} THEN 0 WHEN {column} > {high} THEN {bins + 1}
+      ELSE least(floor({bins} * ({column} - {low}) / (({high} - {low}) * 1E0)) + 1, {bins}) END
+      AS BIGINT) AS bin, count(*) AS n FROM {source} WHERE {column} IS NOT NULL GROUP BY 1)
+    SELECT i AS bin, CASE WHEN i > 0 THEN round({low} + (i - 1) * (({high} - {low}) * 1E0 / {bins}), 6) END AS bin_start,
+      CASE WHEN i <= {bins} THEN round({low} + i * (({high} - {low}) * 1E0 / {bins}), 6) END AS bin_end,
+      coalesce(n, 0) AS n
+    FROM range(0, {bins + 2}) t(i) LEFT JOIN counted ON bin = i"""
 
 
 @query("f11_histogram_scores", on_loans("SELECT * FROM (WITH " + histogram_sql("loans", "RiskScore", 30, 0, 100) + ")"))

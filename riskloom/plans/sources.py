@@ -31,6 +31,25 @@ def csv_scan(spark, sf_dir):
     return files.scan_report(files.require_rows(files.read_csv(spark, path, df.columns, target="Age")), "Age")
 
 
+@query(
+    "a1_csv_malformed",
+    """SELECT CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN 'malformed' ELSE 'good' END AS sink,
+      count(*) AS row_count, CAST(sum(CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN 0 ELSE o_custkey END) AS BIGINT) AS keys
+    FROM orders GROUP BY 1""",
+)
+def csv_malformed(spark, sf_dir):
+    """Lines with a field too many or too few are sorted out, none is lost."""
+    path = fresh_path(spark, "csv")
+    line = """concat_ws(',', o_orderkey, IF(o_orderkey % 11 = 0 AND o_orderkey % 7 <> 0, NULL, o_custkey),
+      IF(o_orderkey % 7 = 0, 'one more', NULL)) AS `order,customer`"""
+    raw = table(spark, sf_dir, "orders").selectExpr(line).write.option("header", True)
+    raw.option("quote", "\u0000").option("sep", "\u0001").csv(path)
+    good, bad = files.read_csv_checked(spark, path, ["order", "customer"])
+    count = F.count(F.lit(1)).alias("row_count")
+    kept = good.agg(F.lit("good").alias("sink"), count, F.sum(F.col("customer").cast("bigint")).alias("keys"))
+    return tidy(kept.unionByName(bad.agg(F.lit("malformed").alias("sink"), count, F.lit(0).alias("keys"))))
+
+
 _BUNDLE_SQL = f"""SELECT CASE WHEN {_TEST} THEN 'test' ELSE 'train' END AS split, count(*) AS row_count,
     sum(CreditScore)::BIGINT AS credit, round(avg(RiskScore), 6) AS mean_target FROM loans GROUP BY 1"""
 
@@ -75,6 +94,15 @@ def csv_round_trip(spark, sf_dir):
         "bigint(c_custkey) AS c_custkey", "c_name", "c_mktsegment", "double(c_acctbal) AS c_acctbal"))
 
 
+@query("a4_csv_documents", "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents")
+def csv_documents(spark, sf_dir):
+    """Whole texts with line breaks, quotes and white space come back as they were."""
+    path = fresh_path(spark, "csv")
+    files.write_csv(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    rows = files.read_csv(spark, path, ["doc_id", "text"], multiline=True)
+    return tidy(rows.selectExpr("bigint(doc_id) AS doc_id", "length(text) AS n_chars", "md5(text) AS digest"))
+
+
 @query(
     "a5_json_report",
     on_loans(

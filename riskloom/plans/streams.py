@@ -68,6 +68,19 @@ def stream_quality(spark, sf_dir):
     return tidy(out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
 
 
+@query("s2_stream_completed", _WINDOWS.format(""))
+def stream_completed(spark, sf_dir):
+    """The stream's windows and its closing pass: late rows and open windows are all there."""
+    path, source = fresh_path(spark, "windows"), table(spark, sf_dir, "events")
+    events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    windows = jobs.quality_windows(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", 0, 50, "event_type")
+    jobs.write_windows(windows, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    delivered = spark.read.schema(windows.schema).parquet(f"{path}/out")
+    rest = jobs.quality_windows(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", 0, 50, "event_type")
+    whole = jobs.completed(delivered, jobs.closing_pass(rest, delivered, "event_type"), "event_type").drop("window_end")
+    return tidy(whole.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
+
+
 @query("s2_batch_quality", _WINDOWS.format(""))
 def batch_quality(spark, sf_dir):
     """The same measures over the table at rest, all windows."""

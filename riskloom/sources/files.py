@@ -9,27 +9,53 @@ from ..operators.quality import check_bundle
 from ..schema import text_schema
 
 CORRUPT = "_corrupt_record"
+# A quote inside a value is doubled, and white space at its ends belongs to it.
+QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str], target: str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, columns: list[str], target: str | None = None, multiline: bool = False
+) -> DataFrame:
     """All-text scan with a declared schema, so the file is read once and never inferred.
 
-    Values are typed later by a contract; empty fields are nulls.
+    Values are typed later by a contract; empty fields are nulls. A line with too few or too many
+    fields stops the scan: ``read_csv_checked`` sorts such lines out instead. Values with line
+    breaks need ``multiline``, and then a file is one task; without it files are split.
     """
     if target and target not in columns:
         raise ValueError(f"target {target} is not among {columns}")
     return (
         spark.read.schema(text_schema(columns))
+        .options(**QUOTING)
         .option("header", True)
         .option("enforceSchema", False)  # the header must hold these names in this order
-        .option("mode", "PERMISSIVE")
+        .option("columnPruning", False)  # a line is judged by all its fields
+        .option("multiLine", multiline)
+        .option("mode", "FAILFAST")
         .csv(path)
     )
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file: reads the header line only."""
-    return spark.read.option("header", True).csv(path).columns
+def read_csv_checked(
+    spark: SparkSession, path: str, columns: list[str], multiline: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(well-formed rows, malformed lines as they stand in the file); together the whole input."""
+    lines = (
+        spark.read.schema(text_schema([*columns, CORRUPT]))
+        .options(**QUOTING)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", False)
+        .option("multiLine", multiline)
+        .option("mode", "PERMISSIVE")
+        .csv(path)
+    )
+    good = lines.filter(F.col(CORRUPT).isNull()).select(*[f"`{c}`" for c in columns])
+    # The scan refuses to give the marker alone, so the fields are looked at too.
+    read = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in columns])) >= 0
+    bad = lines.filter(F.col(CORRUPT).isNotNull() & read).select(CORRUPT, F.lit("malformed").alias("code"))
+    return good, bad
 
 
 def scan_report(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -51,7 +77,8 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Quoted so that every text comes back byte for byte, line breaks with ``multiline`` only."""
+    df.write.mode("overwrite").options(**QUOTING).option("header", True).csv(path)
 
 
 def write_bundle(df: DataFrame, path: str, split: str = "split") -> None:
@@ -75,7 +102,7 @@ def read_checked_bundle(spark: SparkSession, path: str, key: str, target: str, s
 
 def write_report(report: DataFrame, path: str) -> None:
     """A long report (section, key, value) as JSON lines. Reports are small by nature."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    report.repartition(1).write.mode("overwrite").json(path)
 
 
 REPORT_SCHEMA = "section string, key string, value double"

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.contracts import split_valid
 from ..schema import Field, text_schema
+from ..sources.files import QUOTING
 
 
 def read_csv_stream(spark: SparkSession, path: str, columns: list[str], files_per_batch: int | None = None) -> DataFrame:
-    """Growing folder of CSV files as text rows."""
-    reader = spark.readStream.schema(text_schema(columns)).option("header", True)
+    """Growing folder of CSV files as text rows. A file whose header has other names, or these in another order, stops the stream."""
+    reader = spark.readStream.schema(text_schema(columns)).options(**QUOTING).option("header", True)
+    reader = reader.option("enforceSchema", False)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.csv(path)
@@ -31,10 +34,12 @@ def score_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
-        good, bad = split_valid(held, contract, keys)
-        score(good).write.mode("overwrite").parquet(f"{out}/good/batch_id={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={batch_id}")
-        held.unpersist()
+        try:
+            good, bad = split_valid(held, contract, keys)
+            score(good).write.mode("overwrite").parquet(f"{out}/good/batch_id={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={batch_id}")
+        finally:
+            held.unpersist()
 
     return (
         rows.writeStream.foreachBatch(write)
@@ -65,6 +70,26 @@ def quality_windows(events: DataFrame, time: str, value: str, low: float, high:
     )
 
 
+def closing_pass(at_rest: DataFrame, delivered: DataFrame, *by: str) -> DataFrame:
+    """What a stream's sink lacks once its input is complete: open windows, and windows with late rows.
+
+    ``at_rest`` are the windows over the whole input, ``delivered`` those of the sink. The result
+    replaces the sink's rows of the same window; ``completed`` puts both together.
+    """
+    keys = ["window_start", *by]
+    held = delivered.select(*[F.col(k).alias(f"held {k}") for k in keys], F.col("row_count").alias("held rows"))
+    same = [at_rest[k].eqNullSafe(F.col(f"`held {k}`")) for k in keys] + [F.col("row_count") == F.col("held rows")]
+    return at_rest.join(held, reduce(Column.__and__, same), "left_anti")
+
+
+def completed(delivered: DataFrame, closing: DataFrame, *by: str) -> DataFrame:
+    """Every window once: delivered ones that nothing replaced, and the closing pass."""
+    keys = ["window_start", *by]
+    newer = closing.select(*[F.col(k).alias(f"new {k}") for k in keys])
+    same = reduce(Column.__and__, [delivered[k].eqNullSafe(F.col(f"`new {k}`")) for k in keys])
+    return delivered.join(newer, same, "left_anti").unionByName(closing)
+
+
 def write_windows(windows: DataFrame, out: str, checkpoint: str):
     """Append sink: the file log makes every closed window appear once."""
     return (

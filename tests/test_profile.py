@@ -31,6 +31,49 @@ def test_quantiles_are_exact_whatever_the_bracket(skewed, small, accuracy):
         assert got[c] == pytest.approx(np.quantile(pdf[c].dropna(), PROBABILITIES), abs=1e-12)
 
 
+@pytest.mark.parametrize("small", [5, 10**6])
+def test_quantiles_with_infinities_and_nulls(spark, small):
+    values = [float(v) for v in range(60)] + [float("inf")] * 20 + [float("-inf")] * 9 + [None] * 7
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    held = sorted(v for v in values if v is not None)
+    for p in (0.0, 0.05, 0.3, 0.5, 0.9, 1.0):
+        place = p * (len(held) - 1)
+        low, high, part = held[int(place)], held[min(int(place) + 1, len(held) - 1)], place - int(place)
+        want = low if not part or low == high else (1 - part) * low + part * high
+        assert exact_quantiles(df, ["v"], [p], small=small)["v"][0] == pytest.approx(want)
+
+
+def test_columns_without_values(spark):
+    df = spark.createDataFrame([(1, None), (2, float("nan"))], "k long, v double")
+    box = profile.box_stats(df, "v").first()
+    assert (box["q1"], box["lower_fence"], box["upper_whisker"], box["outliers"]) == (None, None, None, 0)
+    assert profile.box_outliers(df, "v").count() == 0
+    assert sum(r["n"] for r in profile.histogram(df, "v").collect()) == 0
+
+
+def test_histogram_counts_every_value(spark):
+    df = spark.createDataFrame([(v,) for v in (-5.0, 0.0, 50.0, 100.0, 100.5, None, 1e9)], "v double")
+    bins = {r["bin"]: r["n"] for r in profile.histogram(df, "v", bins=10).collect()}
+    assert (bins[0], bins[1], bins[6], bins[10], bins[11]) == (1, 1, 1, 1, 2) and sum(bins.values()) == 6
+
+
+def test_spearman_takes_pairs_as_they_are(spark):
+    pdf = pd.DataFrame({"row_id": range(60), "a": [k * 7 % 31 for k in range(60)], "b": [k * k % 17 for k in range(60)]})
+    pdf["c"] = pdf["a"].where(pdf["row_id"] % 2 == 0, np.nan) + pdf["b"]
+    rows = [(int(i), float(a), float(b), None if np.isnan(c) else float(c)) for i, a, b, c in pdf.values]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c double")
+    want = pdf[["a", "b", "c"]].corr(method=lambda x, y: pd.Series(x).rank().corr(pd.Series(y).rank()))
+    for r in profile.spearman_matrix(df, ["a", "b", "c"]).collect():
+        assert r["correlation"] == pytest.approx(want.loc[r["column_a"], r["column_b"]])
+
+
+def test_long_keys_keep_their_order(spark):
+    rows = [(2**53, 1.0, "it's"), (2**53 + 1, 2.0, "b"), (2**53 + 2, 3.0, "c")]
+    df = spark.createDataFrame(rows[::-1], "k long, `it's` double, t string")
+    got = profile.monotonic_profile(df, ["it's"], "k").first()
+    assert (got["column_name"], got["rising"], got["falling"]) == ("it's", True, False)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), (None, float("nan"))], "a double, b double")
     assert exact_quantiles(df, ["a", "b"], [0.5]) == {"a": [None], "b": [1.0]}
@@ -90,7 +133,7 @@ def test_duplicates_need_equal_rows(spark):
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(0.0,), (100.0,), (99.9,), (100.1,), (None,)], "s double")
     bins = {r["bin"]: r["n"] for r in profile.histogram(df, "s", bins=10).collect()}
-    assert bins == {**{i: 0 for i in range(1, 11)}, 1: 1, 10: 2}
+    assert bins == {**{i: 0 for i in range(12)}, 1: 1, 10: 2, 11: 1}
     with pytest.raises(ValueError):
         profile.histogram(df, "s", bins=5)
 

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.session import fresh_path
+from riskloom.sources import files
 from riskloom.streaming import jobs
 
 
@@ -26,6 +28,24 @@ def test_rerun_adds_nothing_and_late_rows_are_left_out(spark):
     assert run() == [(0, 2, 1), (2, 1, 0)]
 
 
+def test_headers_in_another_order_stop_the_stream(spark):
+    path = fresh_path(spark, "header")
+    spark.createDataFrame([(1, 2)], "b int, a int").write.option("header", True).csv(f"{path}/in")
+    rows = jobs.read_csv_stream(spark, f"{path}/in", ["a", "b"])
+    stream = rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c")
+    with pytest.raises(Exception, match="(?i)header"):
+        stream.trigger(availableNow=True).start().awaitTermination()
+
+
+def test_texts_survive_a_csv_round_trip(spark):
+    path = fresh_path(spark, "csv")
+    texts = [" lead ", "a\nb", 'say "hi", \\"so\\"', "\ttab\t", "a\r\nb", "plain", "it's, ok"]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "k string, t string")
+    files.write_csv(df, path)
+    got = {r.k: r.t for r in files.read_csv(spark, path, ["k", "t"], multiline=True).collect()}
+    assert got == {str(k): t for k, t in enumerate(texts)}
+
+
 def test_no_python_in_the_plans(spark):
     from conftest import SF
 
