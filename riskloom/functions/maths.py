@@ -17,9 +17,6 @@ def safe_divide(num: Column, den: Column, on_zero: str = "nan") -> Column:
     return F.when(den == 0, fill).otherwise(quotient)
 
 
-def clip(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
-
 
 def horner(x: Column, coefficients: list[float]) -> Column:
     """Polynomial with the constant term first."""

@@ -29,8 +29,3 @@ def parse_date(c: Column) -> Column:
 
 def tidy_text(c: Column) -> Column:
     return F.lower(F.trim(c.cast("string")))
-
-
-def nan_to_null(c: Column) -> Column:
-    """Spark orders NaN above every number, so missing values must not stay NaN."""
-    return F.when(~F.isnan(c), c)

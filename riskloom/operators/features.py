@@ -339,7 +339,3 @@ def build_pipeline(
         stages.append(CategoryEncoder.of(keep_ordinal=keep_ordinal))
     stages.append(TypeOptimizer.of())
     return Pipeline(stages=stages)
-
-
-def feature_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
-    return [c for c in numeric_columns(df) if c not in exclude]

@@ -137,9 +137,6 @@ def risk_score(ignore_case: bool = False) -> Column:
     return F.expr(f"double({total}) * IF(LoanApproved = 1, {APPROVED_DISCOUNT}D, 1D)")
 
 
-def with_bands(df: DataFrame, ignore_case: bool = False) -> DataFrame:
-    return df.select("*", *[band(name, ignore_case).alias(f"{name}_band") for name in band_rules()])
-
 
 def portfolio_summary(df: DataFrame, *by: str, rollup: bool = False) -> DataFrame:
     """Headline averages of a loan book, overall or by any dimensions."""

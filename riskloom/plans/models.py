@@ -395,7 +395,7 @@ def _split_table(spark, sf_dir, nested=False):
 @query("m1_m4_baseline_comparison")
 def baseline_comparison(spark, sf_dir):
     """M1 boosted trees, M2 forest, M3 the three linear models, M4 their comparison."""
-    found = modelling.compare_baselines(_split_table(spark, sf_dir), _TRAINED_ON, folds=3, rounds=5, trees=10, depth=4, parallelism=4)
+    found = modelling.compare_baselines(_split_table(spark, sf_dir), _TRAINED_ON, parallelism=4)
     return tidy(found)
 
 
@@ -423,13 +423,23 @@ def staged_tuning(spark, sf_dir):
     return tidy(metrics.leaderboard(modelling.read_trials(spark, path)))
 
 
-@query("m14_early_stopping")
+@query(
+    "m14_early_stopping",
+    "SELECT true AS stopped_early, true AS best_is_kept, true AS nothing_better_within_patience, true AS beats_the_first_round",
+)
 def early_stopping(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir).withColumn("held_out", F.col("split") == "validation").filter("split <> 'test'")
-    trees = modelling.boosted_trees({"n_estimators": 10, "learning_rate": 0.3, "max_depth": 4}, validation="held_out")
-    fitted = trees.fit(vectors)
-    measured = metrics.regression_metrics(modelling.predict(fitted, vectors.filter("held_out")))
-    return tidy(measured.withColumn("rounds", F.lit(fitted.getNumTrees)))
+    """Large steps overfit soon: the best round is kept, and patience ends the search before the last."""
+    vectors, patience = _vectors(spark, sf_dir), 10
+    train, validation = vectors.filter("split = 'train'"), vectors.filter("split = 'validation'")
+    trees = modelling.boosted_trees({"n_estimators": 40, "learning_rate": 1.0, "max_depth": 4})
+    fitted, rounds, errors = modelling.fit_with_patience(trees, train, validation, patience)
+    measured = metrics.regression_metrics(modelling.predict(fitted, validation)).select("rmse")
+    return measured.select(
+        F.lit(rounds < len(errors)).alias("stopped_early"),
+        (F.abs(F.col("rmse") - errors[rounds - 1]) < 1e-6).alias("best_is_kept"),
+        F.lit(min(errors[: rounds + patience]) == errors[rounds - 1]).alias("nothing_better_within_patience"),
+        F.lit(rounds == 1 or errors[rounds - 1] < errors[0]).alias("beats_the_first_round"),
+    )
 
 
 @query("m16_m18_final_model")
@@ -447,7 +457,7 @@ def final_model(spark, sf_dir):
     text = {"ApplicationDate", "EmploymentStatus", "EducationLevel", "HomeOwnershipStatus", "LoanPurpose"}
     numeric = [c for c in RAW_COLUMNS if c not in text]
     scored = modelling.score_batch(loaded, raw, numeric, sorted(text), names)
-    sample = scored.join(df.select("row_id", "RiskScore"), "row_id").orderBy("row_id").limit(5)
+    sample = scored.join(df.filter("split = 'test'").select("row_id", "RiskScore"), "row_id").orderBy("row_id").limit(5)
     shown = sample.selectExpr("'sample' AS section", "string(row_id) AS key", "prediction AS value")
     sane = quality.prediction_sanity(scored, "prediction").selectExpr("'sanity' AS section", "'sane' AS key", "double(int(sane)) AS value")
     weights = metrics.top_features(modelling.importance_table(spark, model.stages[-1], names), 15).selectExpr(
