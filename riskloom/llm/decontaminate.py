@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, query, table, text_key
+from .common import ascii_lower, landed, let, query, sized, table, text_key
 
 WINDOW = 10
 # Distinct benchmark windows that may be broadcast (some 200 bytes each); beyond it the join shuffles.
@@ -114,6 +114,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         raise ValueError(f"mode must be documents or spans, not {mode}")
     hits = find_hits(docs, benchmark, window).where(F.size("hit") > 0)
     hits = hits.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("hit").alias("__hit"))
+    if mode == "documents":
+        hits = sized(landed(hits.drop("__hit"), "contaminated"))
     mine = docs["doc_id"].eqNullSafe(hits["__id"]) & (text_key(docs["text"]) == hits["__key"])
     if mode == "documents":
         return docs.join(hits, mine, "left_anti")

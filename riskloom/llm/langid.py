@@ -10,10 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, landed, query, table
+from .common import held_out, landed, least_keys, query, table
 from .ngrams import codes, hashes, slices
 
 # Labelled documents per language that the machines are fitted on.
@@ -103,14 +103,13 @@ class Model:
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``lang, features``: at most ``sample`` documents of each language, those of least hash, none held out.
 
-    Ranks are limited before the shuffle, and rows that repeat id, text and language count once.
+    Rows that repeat id, text and language count once.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    keys = rows.select("lang", key.alias("key")).distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     # At most ``sample`` keys per language, so this side is small whatever the input.
-    chosen = keys.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "key")
+    chosen = least_keys(rows.select("lang", key.alias("key")), "lang", sizes, sample)
     found = rows.select("lang", "text", key.alias("key")).join(F.broadcast(chosen), ["lang", "key"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

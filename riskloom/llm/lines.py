@@ -50,6 +50,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", _key(F.col("text")).alias("key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     rows = rows.select("doc_id", "key", "pos", F.unhex(F.md5("line")).alias("h"), _words(F.col("line")).alias("words"))
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # A table of its own: the join then shuffles anew and may split the rows of a frequent line.
+    often = landed(often, "repeated-lines")
     rows = rows.join(often, "h", "left_semi").dropDuplicates(["doc_id", "key", "pos"])
     place = Window.partitionBy("doc_id", "key").orderBy("pos")
     long = F.col("words") >= LONG_WORDS

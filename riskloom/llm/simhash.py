@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import landed, query, table, text_key
+from .common import landed, query, sized, table, text_key
 from .components import connected_components
 
 SHINGLE = 4
@@ -241,7 +241,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group: the least doc_id (nulls last), then the least text digest.
 
     All columns stay. Of rows that repeat both id and text, one stays. The rows to drop are
-    anti-joined, so the texts move only where adaptive execution finds that set too large to broadcast.
+    anti-joined, so the texts move only where that set is counted as too large to broadcast.
     """
     prints = landed(fingerprints(docs), "prints")
     rows = prints.join(fingerprint_groups(prints), "fp")
@@ -251,7 +251,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = rows.join(first, "root").select(
         F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "copies", (rank == F.col("first")).alias("stays")
     )
-    rows = landed(rows.where(~F.col("stays") | (F.col("copies") > 1)), "near-copies")
+    rows = sized(landed(rows.where(~F.col("stays") | (F.col("copies") > 1)), "near-copies"))
     mine = docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key(docs["text"]) == F.col("__key"))
     alone = docs.join(rows, mine, "left_anti")
     repeated = docs.join(rows.where("stays"), mine, "left_semi").withColumn("__key", text_key(F.col("text")))
