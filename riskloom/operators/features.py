@@ -208,26 +208,29 @@ class Polynomial(_Json, Transformer):
         return polynomial(df, v.get("columns"), v.get("degree", 2), v.get("bias", False), v.get("interaction_only", False))
 
 
-MOST_LEVELS = 10_000  # beyond this many levels a column is no category
-
-
 class CategoryEncoder(_Json, Estimator):
     """Ordinal codes for ordered categories, 0/1 columns for the others.
 
-    One-hot levels are sorted, the first is dropped, unseen ones give all zeros. Learns the
-    levels with their most frequent one from one grouped count per column.
+    One-hot levels are sorted, the first is dropped, unseen ones give all zeros. Learns the levels
+    of all columns with their most frequent one from one grouped count. Every level becomes a column,
+    so levels are what the driver can list; ``most_levels``, if given, refuses a column with more.
     """
 
     def _fit(self, df: DataFrame):
-        levels, frequent = {}, {}
-        for c in [c for c in self.values.get("one_hot", ONE_HOT_COLUMNS) if c in df.columns]:
-            counts = df.select(F.col(quoted(c)).cast("string").alias("v")).dropna().groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-            rows = counts.limit(MOST_LEVELS + 1).collect()
-            if len(rows) > MOST_LEVELS:
-                raise ValueError(f"{c} has more than {MOST_LEVELS} levels; it is not a category")
-            levels[c] = sorted(r["v"] for r in rows)
-            if rows:
-                frequent[c] = min(rows, key=lambda r: (-r["n"], r["v"]))["v"]
+        names = [c for c in self.values.get("one_hot", ONE_HOT_COLUMNS) if c in df.columns]
+        most, found = self.values.get("most_levels"), {c: [] for c in names}
+        if names:
+            text = df.select(*[F.col(quoted(c)).cast("string").alias(c) for c in names])
+            cells = text.unpivot([], names, "column_name", "v").dropna(subset=["v"])
+            counts = cells.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+            if most is not None:
+                wide = counts.groupBy("column_name").count().filter(F.col("count") > most).first()
+                if wide:
+                    raise ValueError(f"{wide['column_name']} has more than {most} levels; it is not a category")
+            for r in counts.collect():
+                found[r["column_name"]].append(r)
+        levels = {c: sorted(r["v"] for r in rows) for c, rows in found.items()}
+        frequent = {c: min(rows, key=lambda r: (-r["n"], r["v"]))["v"] for c, rows in found.items() if rows}
         ordinal = {c: o for c, o in self.values.get("ordinal", ORDINAL_LEVELS).items() if c in df.columns}
         return CategoryEncoderModel.of(
             levels=levels, frequent=frequent, ordinal=ordinal, keep_ordinal=self.values.get("keep_ordinal", True)
@@ -322,6 +325,31 @@ class TypeOptimizerModel(_Json, Model):
         return df.sparkSession.createDataFrame(list(self.types.items()), "column_name string, chosen_type string")
 
 
+def narrowest_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column_name, chosen_type) of numeric columns, from one aggregation.
+
+    Whole numbers, and reals whose values are all present and whole, get the smallest signed width;
+    other reals get float where their range allows it. Columns without values stay as they are.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    names = [c for c in columns or kinds if c in kinds]
+    aggs = []
+    for c in names:
+        q, x = quoted(c), f"double({quoted(c)})"
+        whole = "true"
+        if not isinstance(kinds[c], T.IntegralType):
+            whole = f"count({q}) = count(1) AND count_if(isnan({x}) OR abs({x}) = double('inf') OR {x} <> floor({x})) = 0"
+        widths = " ".join(
+            f"WHEN max({x}) <= {2 ** (bits - 1) - 1} AND min({x}) >= {-(2 ** (bits - 1))} THEN '{kind}'"
+            for bits, kind in ((8, "tinyint"), (16, "smallint"), (32, "int"))
+        )
+        held = kinds[c].simpleString()
+        real = f"IF(max(abs(nanvl({x}, 0D))) <= 3.4028234663852886E38D, 'float', '{held}')"
+        signed = f"CASE {widths} WHEN max(abs({x})) < 9.2E18D THEN 'bigint' ELSE '{held}' END"
+        aggs.append(F.expr(f"CASE WHEN count({q}) = 0 THEN '{held}' WHEN {whole} THEN {signed} ELSE {real} END").alias(c))
+    return long_table(df.agg(*aggs), [{"column_name": literal(c), "chosen_type": quoted(c)} for c in names])
+
+
 def build_pipeline(
     df: DataFrame, drop: list[str] = (), degree: int = 2, on_zero: str = "zero", keep_ordinal: bool = True,
     date_column: str = "ApplicationDate", expected: list[str] | None = None,

@@ -248,6 +248,25 @@ def types_applied(spark, sf_dir):
     return tidy(ops.TypeOptimizer.of(fixed={}).fit(df).transform(df))
 
 
+def _narrowest_sql(source, columns):
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, CASE WHEN count({c}) = count(*) AND count(*) FILTER ({c} <> floor({c})) = 0 THEN
+          CASE WHEN max({c}) <= 127 AND min({c}) >= -128 THEN 'tinyint' WHEN max({c}) <= 32767 AND min({c}) >= -32768
+          THEN 'smallint' WHEN max({c}) <= 2147483647 AND min({c}) >= -2147483648 THEN 'int' ELSE 'bigint' END
+          ELSE 'float' END AS chosen_type FROM {source}"""
+        for c in columns
+    )
+
+
+@query(
+    "d13_narrow_whole_reals",
+    _narrowest_sql("lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
+)
+def narrow_whole_reals(spark, sf_dir):
+    columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return ops.narrowest_types(table(spark, sf_dir, "lineitem"), columns)
+
+
 @query(
     "d13_narrow_signed",
     """SELECT min(p_size)::BIGINT AS lowest, max(p_size)::BIGINT AS highest, sum(p_size)::BIGINT AS total,

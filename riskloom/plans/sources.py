@@ -119,6 +119,21 @@ def json_report(spark, sf_dir):
     path = fresh_path(spark, "report")
     found = metrics.regression_metrics(predictions(spark, sf_dir), "model")
     files.write_report(files.metrics_report(found, "model"), path)
+    return tidy(files.read_report(spark, path).drop("text"))
+
+
+@query(
+    "a5_text_report",
+    """SELECT c_mktsegment AS section, 'customers' AS key, CAST(count(*) AS DOUBLE) AS value, min(c_name) AS text
+    FROM customer GROUP BY 1""",
+)
+def text_report(spark, sf_dir):
+    """Lines that hold a text beside their number."""
+    path = fresh_path(spark, "report")
+    segments = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("section"))
+    files.write_report(
+        segments.agg(F.lit("customers").alias("key"), F.count(F.lit(1)).cast("double").alias("value"), F.min("c_name").alias("text")), path
+    )
     return tidy(files.read_report(spark, path))
 
 

@@ -105,7 +105,8 @@ def write_report(report: DataFrame, path: str) -> None:
     report.repartition(1).write.mode("overwrite").json(path)
 
 
-REPORT_SCHEMA = "section string, key string, value double"
+# A number or a text per line; lines without text leave it out.
+REPORT_SCHEMA = "section string, key string, value double, text string"
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
