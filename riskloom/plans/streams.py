@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import RAW_CONTRACT
+from ..operators import features, modelling, split
+from ..schema import RAW_COLUMNS, RAW_CONTRACT
 from ..session import fresh_path
 from ..sources.files import write_csv
-from ..sources.tables import loans_dirty, table
+from ..sources.tables import loans, loans_dirty, table
 from ..streaming import jobs
 from .catalog import on_dirty, query, tidy
 from .predictions import MODELS
@@ -46,6 +50,42 @@ def stream_scoring(spark, sf_dir):
     )
 
 
+@query(
+    "s1_fitted_scoring",
+    on_dirty(
+        """SELECT 'stream good' AS fact, count(*) AS row_count FROM dirty WHERE row_id NOT IN (SELECT row_id FROM violations)
+        UNION ALL SELECT 'stream quarantine', count(DISTINCT row_id) FROM violations
+        UNION ALL SELECT 'keys', count(*) FROM dirty
+        UNION ALL SELECT 'same prediction in a batch', count(*) FROM dirty WHERE row_id NOT IN (SELECT row_id FROM violations)""",
+        VIOLATIONS_SQL,
+    ),
+)
+def fitted_scoring(spark, sf_dir):
+    """The fitted pipeline in a stream: every row is scored or set aside, and a batch gives the same numbers."""
+    df = split.with_split(loans(spark, sf_dir)).drop("MaritalStatus", "LoanApproved")
+    pipeline = features.build_pipeline(df.drop("row_id", "split", "RiskScore"))
+    model, _, names = modelling.train_final(pipeline, df, {"n_estimators": 5, "learning_rate": 0.3, "max_depth": 4})
+    categorical = ["ApplicationDate", "EmploymentStatus", "EducationLevel", "HomeOwnershipStatus", "LoanPurpose"]
+    numeric = [c for c in RAW_COLUMNS if c not in categorical]
+
+    def score(good):
+        return modelling.score_batch(model, good.drop("MaritalStatus"), numeric, categorical, names)
+
+    dirty, path = loans_dirty(spark, sf_dir), fresh_path(spark, "fitted")
+    write_csv(dirty, f"{path}/in")
+    rows = jobs.read_csv_stream(spark, f"{path}/in", dirty.columns, files_per_batch=4)
+    rows = rows.withColumn("row_id", F.col("row_id").cast("bigint"))
+    jobs.score_stream(rows, RAW_CONTRACT, score, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    streamed = spark.read.parquet(f"{path}/out/good")
+    held = spark.read.parquet(f"{path}/out/quarantine")
+    batch, _ = modelling.score_checked(model, dirty.drop("MaritalStatus"), RAW_CONTRACT, numeric, categorical, names)
+    same = streamed.join(batch.withColumnRenamed("prediction", "again"), "row_id").filter("prediction <=> again")
+    keys = streamed.select("row_id").union(held.select("row_id")).distinct()
+    facts = {"stream good": streamed, "stream quarantine": held, "keys": keys, "same prediction in a batch": same}
+    counts = [rows.agg(F.lit(fact).alias("fact"), F.count(F.lit(1)).alias("row_count")) for fact, rows in facts.items()]
+    return tidy(reduce(DataFrame.unionByName, counts))
+
+
 _WINDOWS = """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS row_count,
     count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (value < 0 OR value > 50) AS out_of_range,
     round(avg(value), 6) AS mean_value
