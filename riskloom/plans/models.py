@@ -5,16 +5,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features, metrics, modelling, monitor, profile, quality, rules, split
 from ..schema import RAW_COLUMNS
 from ..session import fresh_path, settle
 from ..sources import artifacts, files
-from ..sources.tables import loans
+from ..sources.tables import loans, table
 from .catalog import on_loans, query, tidy
 from .predictions import PREDICTIONS_SQL, one_model, predictions
 from .profile import LOAN_NUMBERS, bin_sql
+from .splits import hash_sql
 
 METRICS_SQL = """
 measured AS (
@@ -399,6 +402,54 @@ def baseline_comparison(spark, sf_dir):
     return tidy(found)
 
 
+@query(
+    "m3_least_squares",
+    """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+    round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, count(*) AS row_count FROM lineitem""",
+)
+def least_squares(spark, sf_dir):
+    """The linear model without penalty is the least-squares line."""
+    lines = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    vectors = modelling.assembler(["l_quantity"]).transform(lines)
+    line = LinearRegression(labelCol="l_extendedprice", featuresCol="features", solver="normal").fit(vectors)
+    count = F.count(F.lit(1)).alias("row_count")
+    return tidy(lines.agg(F.round(F.lit(float(line.coefficients[0])), 4).alias("slope"), F.round(F.lit(line.intercept), 4).alias("intercept"), count))
+
+
+@query(
+    "m1_m2_tree_invariants",
+    on_loans(
+        f"""SELECT model, count(*) AS row_count, true AS importances_sum_to_one, true AS beats_the_mean, true AS same_when_loaded
+        FROM loans, (VALUES ('BoostedTrees'), ('RandomForest')) m(model) WHERE {hash_sql('row_id', 42)} % 100 < 20 GROUP BY model"""
+    ),
+)
+def tree_invariants(spark, sf_dir):
+    """Every test row is scored, importances are shares, and a saved model is the model."""
+    marked = _split_table(spark, sf_dir)
+    vectors = settle(modelling.assembler(_TRAINED_ON).transform(marked).select("row_id", "split", "RiskScore", "features"), "vectors")
+    train, test = vectors.filter("split = 'train'"), vectors.filter("split = 'test'")
+    facts = []
+    for name in ("BoostedTrees", "RandomForest"):
+        fitted = modelling.baselines(1)[name].fit(train)
+        path = fresh_path(spark, name)
+        fitted.write().save(path)
+        again = type(fitted).load(path)
+        both = modelling.predict(fitted, test).join(
+            again.transform(test).select("row_id", F.col("prediction").alias("again")), "row_id"
+        )
+        r2 = 1 - F.sum(F.pow(F.col("actual") - F.col("predicted"), 2)) / (F.var_pop("actual") * F.count(F.lit(1)))
+        facts.append(
+            both.agg(
+                F.lit(name).alias("model"),
+                F.count(F.lit(1)).alias("row_count"),
+                F.lit(abs(float(fitted.featureImportances.toArray().sum()) - 1) < 1e-9).alias("importances_sum_to_one"),
+                (r2 > 0).alias("beats_the_mean"),
+                (F.count_if(F.col("predicted") != F.col("again")) == 0).alias("same_when_loaded"),
+            )
+        )
+    return tidy(reduce(DataFrame.unionByName, facts))
+
+
 _QUICK_STAGES = {
     **modelling.STAGES,
     "tree_complexity": {**modelling.STAGES["tree_complexity"], "max_depth": ("int", 3, 5)},
