@@ -181,15 +181,11 @@ def coerce_dates(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({c: parse_date(F.col(c)) for c in names if c in df.columns})
 
 
-def rule_message(field: Field) -> tuple[str, str]:
-    """(condition that breaks the rule, message). A null breaks nothing."""
+def broken_rule(field: Field) -> str:
+    """SQL condition that breaks any bound of the rule. A null breaks nothing."""
     c = quoted(field.name)
-    if field.gt is not None:
-        return f"{c} <= {field.gt}", "must be a positive value"
-    if field.le is None:
-        return f"{c} < {field.ge}", "cannot be negative"
-    inside = "is outside the valid range ({}-{})" if field.le != 100 else "should be between {} and {}"
-    return f"{c} < {field.ge} OR {c} > {field.le}", inside.format(field.ge, field.le)
+    bounds = [("<", field.ge), ("<=", field.gt), (">", field.le)]
+    return " OR ".join(f"{c} {op} {limit}" for op, limit in bounds if limit is not None)
 
 
 def business_errors(df: DataFrame, rules: list[Field], key: str = "row_id") -> DataFrame:
@@ -197,10 +193,9 @@ def business_errors(df: DataFrame, rules: list[Field], key: str = "row_id") -> D
     entries = []
     for f in rules:
         if f.name in df.columns:
-            broken, message = rule_message(f)
             entries.append(
-                f"IF({broken}, named_struct('column_name', {literal(f.name)}, 'value', double({quoted(f.name)}),"
-                f" 'message', '{message}'), NULL)"
+                f"IF({broken_rule(f)}, named_struct('column_name', {literal(f.name)}, 'value', double({quoted(f.name)}),"
+                f" 'message', {literal(f.message)}), NULL)"
             )
     return df.select(key, F.expr(f"inline(array_compact(array({', '.join(entries)})))"))
 
@@ -224,7 +219,7 @@ def upload_report(
     checked = [f for f in rules if f.name in clean.columns]
     columns = [c for c in clean.columns if c != key]
     totals = clean.agg(
-        *[F.expr(f"count_if({rule_message(f)[0]}) AS `error {f.name}`") for f in checked],
+        *[F.expr(f"count_if({broken_rule(f)}) AS `error {f.name}`") for f in checked],
         *[F.expr(f"count_if({quoted(c)} IS NULL) AS `null {c}`") for c in columns],
     )
     errors = [f"named_struct('section', 'errors', 'name', {literal(f.name)}, 'amount', {quoted('error ' + f.name)})" for f in checked]

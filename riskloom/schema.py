@@ -17,6 +17,7 @@ class Field:
     levels: tuple[str, ...] = ()
     fold: str = ""  # how spellings are compared: "dash" or "trim"
     optional: bool = False
+    message: str = ""  # what a user is told when the rule is broken
 
     @property
     def spark_type(self) -> T.DataType:
@@ -84,23 +85,26 @@ RAW_COLUMNS = [f.name for f in RAW_CONTRACT if not f.optional]
 LABELS = ["LoanApproved", "RiskScore"]
 
 # The file check of the upload form: other bounds, nulls pass, one message per row and column.
+POSITIVE = "must be a positive value"
+NOT_NEGATIVE = "cannot be negative"
+
 UPLOAD_RULES = [
-    number("Age", ge=18, le=80),
-    number("CreditScore", ge=300, le=850),
-    number("AnnualIncome", gt=0),
-    number("LoanAmount", gt=0),
-    number("MonthlyIncome", gt=0),
-    number("Experience", ge=0),
-    number("LoanDuration", ge=0),
-    number("NumberOfDependents", ge=0),
-    number("MonthlyDebtPayments", ge=0),
-    number("NumberOfOpenCreditLines", ge=0),
-    number("NumberOfCreditInquiries", ge=0),
-    number("LengthOfCreditHistory", ge=0),
-    number("JobTenure", ge=0),
-    number("CreditCardUtilizationRate", ge=0, le=100),
-    number("InterestRate", ge=0, le=100),
-    number("BaseInterestRate", ge=0, le=100),
+    number("Age", ge=18, le=80, message="is outside the valid range (18-80)"),
+    number("CreditScore", ge=300, le=850, message="is outside the valid range (300-850)"),
+    number("AnnualIncome", gt=0, message=POSITIVE),
+    number("LoanAmount", gt=0, message=POSITIVE),
+    number("MonthlyIncome", gt=0, message=POSITIVE),
+    number("Experience", ge=0, message=NOT_NEGATIVE),
+    number("LoanDuration", ge=0, message=NOT_NEGATIVE),
+    number("NumberOfDependents", ge=0, message=NOT_NEGATIVE),
+    number("MonthlyDebtPayments", ge=0, message=NOT_NEGATIVE),
+    number("NumberOfOpenCreditLines", ge=0, message=NOT_NEGATIVE),
+    number("NumberOfCreditInquiries", ge=0, message=NOT_NEGATIVE),
+    number("LengthOfCreditHistory", ge=0, message=NOT_NEGATIVE),
+    number("JobTenure", ge=0, message=NOT_NEGATIVE),
+    number("CreditCardUtilizationRate", ge=0, le=100, message="should be between 0 and 100"),
+    number("InterestRate", ge=0, le=100, message="should be between 0 and 100"),
+    number("BaseInterestRate", ge=0, le=100, message="should be between 0 and 100"),
 ]
 
 UPLOAD_NUMERIC = [
@@ -120,23 +124,43 @@ UPLOAD_TEXT = [
 
 UPLOAD_DATES = ["ApplicationDate"]
 
-# ---- end of fixed values ----
-
-# The encoded row: the raw contract with whole-number categories and a bounded payment history,
-# without the base rate and the total debt ratio.
-_ENCODED = {
-    "EmploymentStatus": integer("EmploymentStatus", ge=0),
-    "EducationLevel": integer("EducationLevel", ge=0, le=4),
-    "HomeOwnershipStatus": integer("HomeOwnershipStatus", ge=0),
-    "LoanPurpose": integer("LoanPurpose", ge=0),
-    "PaymentHistory": integer("PaymentHistory", ge=0, le=3),
-}
+# The encoded row: whole-number categories, a bounded payment history, no base rate and total debt ratio.
 PROCESSED_CONTRACT = [
-    _ENCODED.get(f.name, f)
-    for f in RAW_CONTRACT
-    if not f.optional and f.name not in ("BaseInterestRate", "TotalDebtToIncomeRatio")
+    Field("ApplicationDate", "text"),
+    integer("Age", ge=18, le=100),
+    number("AnnualIncome", gt=0),
+    integer("CreditScore", ge=300, le=850),
+    integer("EmploymentStatus", ge=0),
+    integer("EducationLevel", ge=0, le=4),
+    integer("Experience", ge=0),
+    number("LoanAmount", gt=0),
+    integer("LoanDuration", gt=0),
+    integer("NumberOfDependents", ge=0),
+    integer("HomeOwnershipStatus", ge=0),
+    number("MonthlyDebtPayments", ge=0),
+    number("CreditCardUtilizationRate", ge=0, le=1),
+    integer("NumberOfOpenCreditLines", ge=0),
+    integer("NumberOfCreditInquiries", ge=0),
+    number("DebtToIncomeRatio", ge=0),
+    integer("BankruptcyHistory", ge=0, le=1),
+    integer("LoanPurpose", ge=0),
+    integer("PreviousLoanDefaults", ge=0, le=1),
+    integer("PaymentHistory", ge=0, le=3),
+    integer("LengthOfCreditHistory", ge=0),
+    number("SavingsAccountBalance", ge=0),
+    number("CheckingAccountBalance", ge=0),
+    integer("TotalAssets", ge=0),
+    integer("TotalLiabilities", ge=0),
+    number("MonthlyIncome", gt=0),
+    number("UtilityBillsPaymentHistory", ge=0, le=1),
+    integer("JobTenure", ge=0),
+    integer("NetWorth"),
+    number("InterestRate", ge=0, le=1),
+    number("MonthlyLoanPayment", ge=0),
 ]
 
+# ---- end of fixed values ----
+
 
 def text_schema(columns: list[str]) -> T.StructType:
     """All-text schema for files whose values are not trusted yet."""
