@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, landed, query, table
+from .common import held_out, landed, least_keys, query, table
 from .ngrams import codes, hashes, slices
 
 BITS = 18
@@ -66,8 +66,11 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    # A table of its own, so that the join can split the rows of an id that is everywhere.
+    marks = landed(marks, "toxic-labels")
     rows = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), "text")
-    return rows.join(marks, "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", "toxic")
+    # Labels grow with the documents: the join is by shuffle at every size.
+    return rows.join(marks.hint("merge"), "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", "toxic")
 
 
 def _document_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -102,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     With one class only (or no labels) every score is the smoothed share of toxic rows.
     """
-    rows = labelled(docs, labels)
+    # Read three times below, moved once.
+    rows = landed(labelled(docs, labels), "labelled")
     clean, bad, n_clean, n_bad = _document_counts(rows)
     places, share = np.full(1 << BITS, -1, np.int32), (n_bad + 1) / (n_bad + n_clean + 2)
     if not n_clean or not n_bad:
@@ -122,9 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 made[k, at] = scale[at]
             yield pd.DataFrame({"label": part["toxic"].to_numpy(np.float64), "x": list(made)})
 
-    keys = rows.select("toxic", "key").distinct()
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("key"))
-    picked = keys.withColumn("rank", rank).where(F.col("rank") <= sample).select("toxic", "key")
+    picked = least_keys(rows.select("toxic", "key"), "toxic", {0: n_clean, 1: n_bad}, sample)
     # At most twice ``sample`` keys.
     some = rows.join(F.broadcast(picked), ["toxic", "key"]).dropDuplicates(["toxic", "key"])
     ready = landed(some.select("text", "toxic").mapInPandas(run, "label double, x array<double>"), "toxic-sample")
