@@ -14,15 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import query, table
+from .common import bounded, query, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Pieces per recursive query, characters per group of texts, remembered chunks per worker: memory
 # bounds only, no text is cut short by them.
-PIECES = 50_000
-GROUP_CHARS = 3_000_000
+PIECES = 25_000
+GROUP_CHARS = 1_000_000
 SLICE_CHARS = 1_000_000
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 # Pieces of more bytes than this take the query that contracts many equal pairs at once.
 LONG_PIECE = 64
 
@@ -277,7 +277,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     read once by the driver and broadcast: its size is that of the file.
     """
     blob, pattern = _defaults(path, pattern)
-    shared = docs.sparkSession.sparkContext.broadcast(blob)
+    shared = bounded(docs.sparkSession).sparkContext.broadcast(blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = engine(shared.value, pattern)

@@ -25,8 +25,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Text that one batch may bring to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session with batches for Python workers bounded in bytes; long texts count, not rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return configure(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def landed(df: DataFrame, label: str) -> DataFrame:
