@@ -213,40 +213,51 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = C
     group = [*key, "lo", "hi"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = None  # the last cell of a batch may go on in the next
         for batch in batches:
             whole = pa.Table.from_batches([batch])
-            whole = whole if held is None else pa.concat_tables([held, whole])
-            whole = whole.combine_chunks()
+            whole = (whole if held is None else pa.concat_tables([held, whole])).combine_chunks()
             change = np.zeros(max(whole.num_rows - 1, 0), bool)
             for c in group:
                 values = whole[c].to_numpy()
                 change |= values[1:] != values[:-1]
             starts = np.append(0, np.flatnonzero(change) + 1)
-            for a, b in zip(starts, starts[1:], strict=False):
-                yield from one(whole.slice(a, b - a))
+            if len(starts) > 1:
+                yield cells_of(whole.slice(0, starts[-1]), starts)
             held = whole.slice(starts[-1]) if whole.num_rows else held
         if held is not None and held.num_rows:
-            yield from one(held)
-
-    def one(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if rows.num_rows < 2:
-            return
-        unit = _units(rows["x"].combine_chunks())
-        t, where, lo, hi = (rows[c][0].as_py() for c in ("t", "cell", "lo", "hi"))
-        column = {c: rows[c].to_numpy(zero_copy_only=False) for c in ("weight", "part", "home", *name)}
-        home = column["home"].astype(bool)
-        count, links = cell_links(
-            unit, cells(unit), column["weight"], column["part"], home, t, where, lo, hi, threshold
-        )
-        some = np.flatnonzero(count)
-        a = np.concatenate([some, np.array([x for x, _ in links], np.int64)]).astype(np.int64)
-        b = np.concatenate([np.full(len(some), -1), np.array([y for _, y in links], np.int64)]).astype(np.int64)
+            yield cells_of(held, np.array([0, held.num_rows]))
+
+    def cells_of(rows: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+        """All links of whole cells; their vectors are decoded together, by length."""
+        column = {c: rows[c].to_numpy(zero_copy_only=False) for c in (*group, "weight", "part", "home", *name)}
+        home, units, named = column["home"].astype(bool), {}, {}
+        for dim in np.unique(column["dim"]):
+            at = np.flatnonzero(column["dim"] == dim)
+            units[dim] = _units(rows["x"].combine_chunks().take(pa.array(at)))
+            named[dim] = (cells(units[dim]), np.searchsorted(at, np.arange(rows.num_rows)))
+        some, counts, firsts, others = [], [], [], []
+        for start, end in zip(ends[:-1], ends[1:], strict=True):
+            if end - start < 2:
+                continue
+            names, place = named[column["dim"][start]]
+            part = slice(place[start], place[start] + end - start)
+            count, links = cell_links(
+                units[column["dim"][start]][part], names[part], column["weight"][start:end], column["part"][start:end],
+                home[start:end], *(int(column[c][start]) for c in ("t", "cell", "lo", "hi")), threshold,
+            )
+            found = np.flatnonzero(count)
+            some.append(found + start)
+            counts.append(count[found])
+            firsts.extend(start + x for x, _ in links)
+            others.extend(start + y for _, y in links)
+        a = np.concatenate([*some, np.array(firsts, np.int64)]).astype(np.int64)
+        b = np.concatenate([np.full(len(a) - len(others), -1), np.array(others, np.int64)]).astype(np.int64)
+        n = np.concatenate([*counts, np.zeros(len(others), np.int64)]).astype(np.int64)
         other = pa.array(column["low"][b], pa.int64(), mask=b < 0)
-        n = np.concatenate([count[some], np.zeros(len(links), np.int64)])
-        yield pa.RecordBatch.from_arrays(
-            [rows["label"].combine_chunks().take(pa.array(a)), *[pa.array(column[c][a]) for c in name], other, pa.array(n)],
-            ["label", *name, "other", "n"],
+        label = rows["label"].combine_chunks().take(pa.array(a))
+        return pa.RecordBatch.from_arrays(
+            [label, *[pa.array(column[c][a]) for c in name], other, pa.array(n)], ["label", *name, "other", "n"]
         )
 
     dealt = rows.repartition(*group).sortWithinPartitions(*group)
