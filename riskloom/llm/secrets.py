@@ -32,8 +32,39 @@ ALPHABETS = {
 LENGTHS = [20, 24, 32, 40, 64, 128]
 # Share of false discoveries allowed, least chance of the battery for a random string, steps to a unit of -ln p.
 FALSE_SHARE, LEAST_CHANCE, STEPS, MOST_STEPS = 0.01, 0.001, 8, 2000
-# Class changes per character of ordinary text where too few tokens show one.
-CHANGE_RATE, RATE_WEIGHT = 0.05, 200
+# Class changes per character that ordinary text may have; the likeliest for the token counts.
+CHANGE_RATES = [0.05, 0.1, 0.2, 0.4]
+# -ln of the chance of a letter in ordinary text, in quarters (rounded down) above "0": a row for the start of a
+# word, then one for each letter before. Counted in distinct short words of sf0.1 and of the Python library.
+LETTERS = (
+    "9=;<8>?>;FC<=<9=C;:9>A@CGE"
+    "?=;<>F@B<HD;=6@?G9:7;CCDCJ"
+    ":=>C6DHG<@G4DD9BK==C=KIG>H"
+    ":G?A:EH4:L<=CE7FH=A:>FJLAM"
+    "9?A?5AC>7HH=E>7DH<;;>EAGEL"
+    ":A=:<ABA;JG=@7?AC68<ABC@FB"
+    ":@A@8:A?7IF<E@7CK9=9=EEHBF"
+    "8@BC4F?;;MF<A<<CP;;<=DBPGC"
+    "6>BH4KC<;TC>F=:CK><:BC@QGD"
+    ">A;?9A?FCIH=>48AF?;9I@IEPA"
+    "2E>D8EGE<E>BDG:@ED?D9GDECG"
+    "<B>?3B?A9EE<C??@H?9@AD?GBL"
+    "9EB?4EGH7JG9EE:CJE>>?EKN7L"
+    "7>FA4DIF7KF@>C:9NE=A=HKPBK"
+    ":?=88B8><HC?D>;BF?;7ABAMHF"
+    "AA>>B:BG?GD>=4>>H8<>8C?ELL"
+    "6FBB89G@<PF9EC:<F8=;>GDN>L"
+    "DEACEFEGDFJADDGD>@=D0GCFFG"
+    "9??A4D@?:JB??>:AI;;;@CBMBF"
+    "<B9B8EC8:EB?@B<>C@<5<HCJAM"
+    ":AAD7EG66OG@DA;CJ;==AECKA?"
+    "<<>A7@AA=NE;=7=<F;;:ECE;MF"
+    "7BBF2DDI6JIBCD<DMBCDGFEGHI"
+    "8DAA:CH29JIAE=<DN==CHGCDNJ"
+    ":?:?8:I@:IG=?D<9A>?7C?D;=F"
+    ";>?@8AG<;JG<>9:9I=99DB>C>@"
+    ":>>@6D@A;DB@AG=AC@>>4BGKC<"
+)
 
 
 def base_spans(text: Column) -> Column:
@@ -74,12 +105,12 @@ def encoding(token: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """Tests of one token: ``n``, ``chance`` (of the least of the three tests, three times, 1 at most), ``changes``.
+    """Tests of one token: ``n``, ``chance`` (of the least of the three tests, three times, 1 at most), ``evidence``.
 
     The tests take the token as independent uniform draws from its alphabet: chi-squared of the
     character counts (normal by the cube-root transformation), runs above and below the middle of the
-    alphabet, and lag-one serial correlation of the places in the alphabet. ``changes`` counts
-    neighbours of different class (lower, upper, digit, other).
+    alphabet, and lag-one serial correlation of the places in the alphabet. ``evidence`` is ln of how much
+    likelier those draws make the token than ordinary text does (see ``text_cost``).
     """
 
     def measured(d: Column) -> Column:
@@ -91,13 +122,8 @@ def battery(token: Column) -> Column:
             lambda acc, c: acc + F.pow(F.length(token) - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)),
         )
         places = F.transform(d["chars"], lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-        kinds = F.transform(
-            d["chars"],
-            lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3),
-        )
-        return let(
-            F.struct(n.alias("n"), k.alias("k"), squares.alias("squares"), places.alias("v"), kinds.alias("kinds")), tests
-        )
+        cost = text_cost(d["chars"])
+        return let(F.struct(n.alias("n"), k.alias("k"), squares.alias("squares"), places.alias("v"), cost.alias("cost")), tests)
 
     def tests(d: Column) -> Column:
         n, k, v = d["n"], d["k"], d["v"]
@@ -119,11 +145,10 @@ def battery(token: Column) -> Column:
             ).otherwise(F.sqrt(n)),
         )
         least = F.least(upper_tail(cube), 2 * upper_tail(F.abs(runs)), 2 * upper_tail(F.abs(serial)))
-        kinds = d["kinds"]
         return F.struct(
             n.cast("int").alias("n"),
             F.least(F.lit(1.0), 3 * least).alias("chance"),
-            F.size(F.filter(pairs(kinds, lambda a, b: a != b), lambda x: x)).alias("changes"),
+            (d["cost"] - n * F.log(k) - math.log(len(ALPHABETS))).alias("evidence"),
         )
 
     bare = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
@@ -154,11 +179,34 @@ def length_class(n: Column) -> Column:
     return out
 
 
-def text_chance(n: Column, changes: Column, rate: Column) -> Column:
-    """-ln of a bound on the chance that ordinary text changes class so often: Chernoff's, so it never promises too much."""
-    share = F.least(changes / (n - 1), F.lit(1.0))
-    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
-    return F.when(share > rate, (n - 1) * (part(share, rate) + part(1 - share, 1 - rate))).otherwise(0.0)
+def text_cost(chars: Column) -> Column:
+    """-ln of the chance of the characters in ordinary text.
+
+    Text goes on in its class (lower, upper, digit, other) or changes it, at the rate that suits this token best;
+    letters follow letters as ``LETTERS`` says, digits are even. All values are fixed, so no other token of the
+    table has a say. Draws from an alphabet beat text by a factor x at most once in x ordinary tokens (Markov).
+    """
+    kinds = F.transform(
+        chars, lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)
+    )
+    letters = F.transform(chars, lambda c: F.instr(F.lit("abcdefghijklmnopqrstuvwxyz"), F.lower(c)))
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+    pairs = lambda values, f: F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), f)
+
+    def total(d: Column) -> Column:
+        changes = F.size(F.filter(pairs(d["kinds"], lambda a, b: a != b), lambda x: x))
+        stays = F.size(d["kinds"]) - 1 - changes
+        path = F.least(*[changes * -math.log(r / 3) + stays * -math.log(1 - r) for r in CHANGE_RATES])
+        before = F.concat(F.array(F.lit(0)), d["letters"])
+        spelt = F.zip_with(
+            F.slice(before, 1, F.size(d["letters"])),
+            d["letters"],
+            lambda a, b: F.when(b > 0, (F.ascii(F.substr(F.lit(LETTERS), a * 26 + b, F.lit(1))) - ord("0")) / 4).otherwise(0.0),
+        )
+        rest = F.transform(d["kinds"], lambda k: F.when(k == 2, math.log(10)).when(k == 3, math.log(2)).otherwise(0.0))
+        return path + add(spelt) + add(rest)
+
+    return let(F.struct(kinds.alias("kinds"), letters.alias("letters")), total)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -173,19 +221,6 @@ def candidates(docs: DataFrame) -> DataFrame:
     return landed(rows.select("doc_id", slim.alias("base"), tested.alias("tokens")), "secret-candidates")
 
 
-def change_rates(tokens: DataFrame) -> dict[int, float]:
-    """Class changes per place in ordinary tokens, those the battery rejects, by length class."""
-    rows = tokens.where(F.col("chance") < LEAST_CHANCE).groupBy("length").agg(
-        F.sum("changes").alias("c"), F.sum(F.col("n") - 1).alias("n")
-    )
-    sums = {r.length: (r.c, r.n) for r in rows.collect()}  # one row per length class
-    out = {}
-    for i in range(len(LENGTHS)):
-        c, n = sums.get(i, (0, 0))
-        out[i] = min(max((c + CHANGE_RATE * RATE_WEIGHT) / (n + RATE_WEIGHT), 0.01), 0.5)
-    return out
-
-
 def discovery_steps(tokens: DataFrame) -> dict[int, int]:
     """By length class the least -ln p (in steps) that is a discovery: Benjamini and Hochberg over all tokens.
 
@@ -207,19 +242,19 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """``doc_id, base, spans`` (arrays of start, kind, end), one row per row of ``docs``.
 
     ``base`` are the passing matches of the fixed patterns. ``spans`` are those and the tokens that
-    look like random draws from their alphabet and change class more often than ordinary text does,
+    look like random draws from their alphabet and are far likelier so than as ordinary text,
     at the allowed share of false discoveries within their length class; these never overlap base
     spans. Null texts are empty; null ids are kept; repeated rows repeat; an empty table gives an
     empty result; other columns are ignored.
     """
     rows = candidates(docs)
     tokens = rows.select(F.explode("tokens.test").alias("t")).select("t.*").withColumn("length", length_class(F.col("n")))
-    rates = change_rates(tokens)
-    rate_of = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
-    step = lambda t: F.least(
-        F.floor(text_chance(t["n"], t["changes"], rate_of[length_class(t["n"])]) * STEPS).cast("int"), F.lit(MOST_STEPS)
-    )
-    counted = tokens.select("length", step({c: F.col(c) for c in ("n", "changes")}).alias("step"))
+    # A token that the battery rejects is no discovery, whatever text says of it.
+    step = lambda t: F.when(
+        t["chance"] >= LEAST_CHANCE,
+        F.least(F.greatest(F.floor(t["evidence"] * STEPS), F.lit(0)).cast("int"), F.lit(MOST_STEPS)),
+    ).otherwise(0)
+    counted = tokens.select("length", step({c: F.col(c) for c in ("chance", "evidence")}).alias("step"))
     least_of = F.create_map(*[F.lit(x) for pair in discovery_steps(counted).items() for x in pair])
     added = F.filter(
         "tokens",

@@ -67,3 +67,23 @@ def test_normal_tail(spark):
     rows = spark.createDataFrame([(x,) for x in z], "z double").select("z", secrets.upper_tail(F.col("z")).alias("p"))
     for r in rows.collect():
         assert abs(r.p - math.erfc(r.z / math.sqrt(2)) / 2) < 2e-7
+
+
+def found_share(spark, tokens, others):
+    rows = [(k, f"see {t} there") for k, t in enumerate(tokens)] + [(len(tokens) + k, f"see {t} there") for k, t in enumerate(others)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secrets.find_secrets(docs).select("doc_id", joined(F.col("spans")).alias("s")).collect()}
+    found = lambda k, t: f"random:4:{4 + len(t)}" in got[k]
+    mine, rest = [found(k, t) for k, t in enumerate(tokens)], [found(len(tokens) + k, t) for k, t in enumerate(others)]
+    return sum(mine) / len(mine), sum(rest) / max(len(rest), 1)
+
+
+def test_a_source_of_uuids_hides_nothing(spark):
+    import uuid
+
+    r = random.Random(5)
+    keys = [base64.b64encode(r.randbytes(27)).decode() for _ in range(40)]
+    uuids = [str(uuid.UUID(int=r.getrandbits(128), version=4)) for _ in range(1000)]
+    plain_words = ["".join(r.choice(["keit", "lich", "tion", "ing", "the", "er", "en", "heit", "ment"]) for _ in range(11)) for _ in range(100)]
+    share, rest = found_share(spark, keys, uuids + plain_words)
+    assert share >= 0.95 and rest <= 0.01, (share, rest)
