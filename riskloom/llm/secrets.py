@@ -22,11 +22,17 @@ HEX = "[0-9a-f]{24,}+"
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 # Candidates of the battery.
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+LOWER, UPPER_CASE, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "digits": DIGITS,
+    "hex": DIGITS + "abcdef",
+    "upper hex": DIGITS + "ABCDEF",
+    "lower": LOWER,
+    "upper": UPPER_CASE,
+    "base32": UPPER_CASE + "234567",
+    "base36": DIGITS + LOWER,
+    "upper base36": DIGITS + UPPER_CASE,
+    "base64": UPPER_CASE + LOWER + DIGITS + "+/",
 }
 # Length classes of the discovery control, by least length.
 LENGTHS = [20, 24, 32, 40, 64, 128]
@@ -96,12 +102,14 @@ def upper_tail(z: Column) -> Column:
 
 def encoding(token: Column) -> Column:
     """The smallest alphabet that spells the token; url-safe base64 counts as base64."""
-    return (
-        F.when(F.rlike(token, F.lit("^[0-9a-f]+$")), "hex")
-        .when(F.rlike(token, F.lit("^[A-Z2-7]+$")), "base32")
-        .when(F.rlike(token, F.lit("^[0-9a-z]+$")), "base36")
-        .otherwise("base64")
-    )
+    out = F.when(F.rlike(token, F.lit("^[0-9]+$")), "digits")
+    some = {
+        "hex": "0-9a-f", "upper hex": "0-9A-F", "lower": "a-z", "upper": "A-Z", "base32": "A-Z2-7", "base36": "0-9a-z",
+        "upper base36": "0-9A-Z",
+    }
+    for name, letters in some.items():
+        out = out.when(F.rlike(token, F.lit(f"^[{letters}]+$")), name)
+    return out.otherwise("base64")
 
 
 def battery(token: Column) -> Column:
@@ -189,7 +197,7 @@ def text_cost(chars: Column) -> Column:
     kinds = F.transform(
         chars, lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)
     )
-    letters = F.transform(chars, lambda c: F.instr(F.lit("abcdefghijklmnopqrstuvwxyz"), F.lower(c)))
+    letters = F.transform(chars, lambda c: F.instr(F.lit(LOWER), F.lower(c)))
     add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
     pairs = lambda values, f: F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), f)
 

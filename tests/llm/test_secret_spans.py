@@ -87,3 +87,20 @@ def test_a_source_of_uuids_hides_nothing(spark):
     plain_words = ["".join(r.choice(["keit", "lich", "tion", "ing", "the", "er", "en", "heit", "ment"]) for _ in range(11)) for _ in range(100)]
     share, rest = found_share(spark, keys, uuids + plain_words)
     assert share >= 0.95 and rest <= 0.01, (share, rest)
+
+
+def test_every_alphabet_but_digits_is_found(spark):
+    r = random.Random(7)
+    words = ["".join(r.choice(["keit", "lich", "tion", "ing", "the", "er", "en", "heit"]) for _ in range(12)) for _ in range(200)]
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {
+        "lower": low, "upper": low.upper(), "upper hex": digits + "ABCDEF", "base36": digits + low,
+        "upper base36": digits + low.upper(), "base32": low.upper() + "234567",
+    }
+    keys = {(kind, n): ["".join(r.choice(of) for _ in range(n)) for _ in range(25)] for kind, of in kinds.items() for n in (32, 64, 128)}
+    flat = [t for some in keys.values() for t in some]
+    rows = [(k, f"see {t} there") for k, t in enumerate([*flat, *words])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: "random:4:" in r.s for r in secrets.find_secrets(docs).select("doc_id", joined(F.col("spans")).alias("s")).collect()}
+    share = {kind: sum(got[k * 25 + i] for i in range(25)) / 25 for k, kind in enumerate(keys)}
+    assert min(share.values()) >= 0.9 and not any(got[len(flat) + k] for k in range(len(words))), share
