@@ -1,10 +1,12 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup: whole repeated passages, or content-defined chunks of lines.
 
 Built from DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def _digest(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 20)
+
+
 def _same(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["key"] == right["key"])
 
@@ -117,14 +123,85 @@ def removals(docs: DataFrame) -> DataFrame:
     return equal.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n_lines")).alias("cuts"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` rid of repeated chunks, and ``n_lines, n_removed``.
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, cuts`` (start and n_lines, disjoint): lines inside passages that stand elsewhere before.
+
+    A passage is a line of ``LONG_WORDS`` words, or two lines and more with ``CHUNK_WORDS`` words. From
+    every line the shortest passage ahead and the shortest one back is looked up; what they hold follows
+    from their own lines only, so the lines around a passage decide nothing, and together they cover every
+    line of every repeated passage. Places that overlap the first place of a passage stay.
+
+    Lines and passages are compared by 160 bits of SHA-256.
+    """
+    rows = docs.select("doc_id", _key(F.col("text")).alias("key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    rows = rows.select("doc_id", "key", "pos", _digest(F.col("line")).alias("h"), _words(F.col("line")).alias("words"))
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    often = landed(often, "repeated-lines")
+    rows = rows.join(often, "h", "left_semi").dropDuplicates(["doc_id", "key", "pos"])
+    place = Window.partitionBy("doc_id", "key").orderBy("pos")
+    gap = F.coalesce(F.col("pos") != F.lag("pos").over(place) + 1, F.lit(True))
+    # Words up to the line's end; a gap counts as more words than a passage looks across.
+    rows = rows.select("*", F.hex("h").alias("x"), gap.alias("gap"))
+    rows = rows.select("*", F.sum(F.col("words") + F.when(F.col("gap"), LONG_WORDS).otherwise(0)).over(place).alias("upto"))
+    rows = rows.select(
+        "*",
+        (F.col("upto") - F.col("words")).alias("before"),
+        F.when(~F.lead("gap").over(place), F.struct(F.lead("x").over(place).alias("x"), F.lead("words").over(place).alias("w"))).alias("next"),
+        F.when(~F.col("gap"), F.struct(F.lag("x").over(place).alias("x"), F.lag("words").over(place).alias("w"))).alias("last"),
+    )
+    sides = Window.partitionBy("doc_id", "key")
+    ahead = sides.orderBy("before").rangeBetween(0, CHUNK_WORDS - 1)
+    back = sides.orderBy("upto").rangeBetween(1 - CHUNK_WORDS, 0)
+    rows = rows.select(
+        *("doc_id", "key", "pos", "words", "x", "next", "last"),
+        F.collect_list("x").over(ahead).alias("a"), F.sum("words").over(ahead).alias("a_words"),
+        F.collect_list("x").over(back).alias("b"), F.sum("words").over(back).alias("b_words"),
+    )
+    alone, alone_back = F.size("a") == 1, F.size("b") == 1
+    long = F.col("words") >= LONG_WORDS
+    forward = (
+        F.when(long, F.array("x"))
+        .when(alone & F.col("next").isNotNull() & (F.col("words") + F.col("next.w") >= CHUNK_WORDS), F.array("x", "next.x"))
+        .when(~alone & (F.col("a_words") >= CHUNK_WORDS), F.col("a"))
+    )
+    backward = (
+        F.when(long, F.array("x"))
+        .when(alone_back & F.col("last").isNotNull() & (F.col("words") + F.col("last.w") >= CHUNK_WORDS), F.array("last.x", "x"))
+        .when(~alone_back & (F.col("b_words") >= CHUNK_WORDS), F.col("b"))
+    )
+    found = lambda start, body: F.struct(
+        start.alias("start"), F.size(body).alias("n_lines"), _digest(F.array_join(body, "")).alias("hash")
+    )
+    rows = rows.select("doc_id", "key", "pos", forward.alias("f"), backward.alias("b"))
+    both = F.array(
+        F.when(F.col("f").isNotNull(), found(F.col("pos"), F.col("f"))),
+        F.when(F.col("b").isNotNull(), found(F.col("pos") - F.size("b") + 1, F.col("b"))),
+    )
+    places = rows.select("doc_id", "key", F.inline(F.array_compact(both))).dropDuplicates(["doc_id", "key", "start", "n_lines"])
+    places = landed(places, "line-passages")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
+    first = places.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1")
+    own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))
+    later = places.join(first, "hash").where(~own | (F.col("start") >= F.col("first.start") + F.col("n_lines")))
+    end = (F.col("start") + F.col("n_lines")).alias("end")
+    later = later.select("doc_id", "key", "start", end)
+    sofar = sides.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    later = later.select("*", F.coalesce(F.col("start") > F.max("end").over(sofar), F.lit(True)).cast("int").alias("opens"))
+    group = F.sum("opens").over(sides.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
+    merged = later.select("*", group.alias("g")).groupBy("doc_id", "key", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cut = F.struct("start", (F.col("end") - F.col("start")).alias("n_lines"))
+    return merged.groupBy("doc_id", "key").agg(F.collect_list(cut).alias("cuts"))
+
+
+def dedup_lines(docs: DataFrame, law: Callable[[DataFrame], DataFrame] = repeated_passages) -> DataFrame:
+    """``docs`` with ``text`` rid of repeated passages (or of what ``law`` cuts), and ``n_lines, n_removed``.
 
-    The first place of every chunk stays. All other columns of ``docs`` stay too, but for those
-    with one of our names. Null texts stay null; a text whose lines all go is empty; rows that repeat both
-    id and text are one place and share their result. An empty table gives an empty result.
+    The first place of every passage stays, but for lines that another passage has before. All other columns
+    of ``docs`` stay too, but for those with one of our names. Null texts stay null; a text whose lines all go
+    is empty; rows that repeat both id and text are one place and share their result. An empty table gives an
+    empty result.
     """
-    cuts = removals(docs).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("cuts").alias("__cuts"))
+    cuts = law(docs).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("cuts").alias("__cuts"))
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["__id"]) & (_key(docs["text"]) == cuts["__key"]), "left")
     kept = let(
         F.struct(_lines(docs["text"]).alias("lines"), F.col("__cuts").alias("cuts")),
@@ -185,4 +262,5 @@ FROM raw LEFT JOIN kept USING (r)
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("text_sha256"))
+    # Its twin states the law of chunks; the pipeline cuts whole passages.
+    return dedup_lines(docs, removals).select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("text_sha256"))

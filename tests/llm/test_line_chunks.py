@@ -73,3 +73,25 @@ def test_repeats_inside_one_text_and_repeated_rows(spark):
     got = [r.text for r in lines.dedup_lines(docs).collect()]
     # The lines of repeated rows all count as repeated; both rows get one result.
     assert len(got) == 2 and got[0] == got[1] and len(got[0]) <= len(text)
+
+
+def test_passages_go_between_other_repeated_lines(spark):
+    boiler = [f"boilerplate number {k}" for k in range(40)]
+    texts = {}
+    for at, (n, words) in enumerate([(2, 30), (4, 15), (6, 10), (12, 10), (20, 10), (7, 3)]):
+        passage = [" ".join([f"p{at}l{k}", *["of"] * (words - 1)]) for k in range(n)]
+        for d in range(3):
+            near = boiler[at * 6 + d * 2 : at * 6 + d * 2 + 2]
+            texts[at * 10 + d] = "\n".join([near[0], *passage, near[1]])
+    texts[100] = "\n".join(boiler[::-1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    for d, text in texts.items():
+        whole = text.split("\n")
+        left = whole if d % 10 == 0 else [whole[0], whole[-1]]
+        assert got[d].text == "\n".join(left) and got[d].n_removed == len(whole) - len(left)
+
+
+def test_a_line_many_times_keeps_one_passage(spark):
+    docs = spark.createDataFrame([(1, "x\n" * 3000 + "end")], "doc_id long, text string")
+    assert lines.dedup_lines(docs).first().text == "x\n" * 12 + "end"
