@@ -103,6 +103,8 @@ def _document_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts over all labelled rows; weights from at most ``sample`` of each class, those of least hash.
 
+    A sampled row weighs as many rows as it stands for, so the score goes with the share of toxic rows as
+    given at every size of the table.
     With one class only (or no labels) every score is the smoothed share of toxic rows.
     """
     # Read three times below, moved once.
@@ -130,8 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # At most twice ``sample`` keys.
     some = rows.join(F.broadcast(picked), ["toxic", "key"]).dropDuplicates(["toxic", "key"])
     ready = landed(some.select("text", "toxic").mapInPandas(run, "label double, x array<double>"), "toxic-sample")
-    ready = ready.select("label", array_to_vector("x").alias("vector"))
-    fitted = LogisticRegression(featuresCol="vector", maxIter=100, regParam=1e-3, standardization=False).fit(ready)
+    taken = {int(r.label): r["count"] for r in ready.groupBy("label").count().collect()}  # two rows
+    weight = F.when(F.col("label") == 1, n_bad / taken[1]).otherwise(n_clean / taken[0])
+    ready = ready.select("label", weight.alias("weight"), array_to_vector("x").alias("vector"))
+    fitted = LogisticRegression(featuresCol="vector", weightCol="weight", maxIter=100, regParam=1e-3, standardization=False).fit(ready)
     return Model(places, scale * fitted.coefficients.toArray(), float(fitted.intercept))
 
 

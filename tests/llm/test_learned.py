@@ -69,3 +69,15 @@ def test_toxicity_without_two_classes(spark):
     assert {round(r.score, 6) for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.5}
     clean = spark.createDataFrame([(k, 0) for k in range(9)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     assert all(r.score < 0.3 for r in toxicity.score(docs, toxicity.fit(docs, clean)).collect())
+
+
+def test_toxicity_has_one_prior_at_every_sample(spark, toxic_model):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    small = toxicity.fit(docs, labels, sample=200)  # below both classes; the other is above both
+    means = []
+    for model in (toxic_model, small):
+        scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+        clean = [scores[i] for i, y in truth.items() if y == 0 and is_held(i) and i in scores]
+        means.append((sum(clean) / len(clean), sum(s >= toxicity.TOXIC for s in clean) / len(clean)))
+    assert means[1][0] <= means[0][0] + 0.02 and means[1][1] <= 0.01, means
