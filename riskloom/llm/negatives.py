@@ -22,7 +22,9 @@ LOW, HIGH = 50, 95
 LIST_ROWS = 4096
 ANCHOR_ROWS = 1024
 # Depth of the first look into the lists; each further one goes four times as deep.
-FIRST_DEPTH = 16
+FIRST_DEPTH = 64
+# Anchors that look into the lists together.
+TOGETHER = 128
 # Whole numbers that a double holds exactly; larger sums are computed on Python's own.
 EXACT = 2**53
 LARGEST, LONG = 2.0**52, 2**63 - 1
@@ -56,10 +58,13 @@ class Lists:
         n = len(self.values)
         return np.stack([up @ self.ranked[n - t] + down @ self.ranked[t - 1] for t in self.depths], axis=1)
 
-    def scan(self, anchor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Sorted access, one depth after another: its number, the rows met for the first time, and their scores."""
+    def scan(self, anchors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Sorted access for some anchors, one depth after another: its number and the rows met for the first time.
+
+        A list is read from the top if any of the anchors asks for that, and from the bottom if any does.
+        """
         n, seen = len(self.values), np.zeros(len(self.values), bool)
-        plus, minus = np.flatnonzero(anchor > 0), np.flatnonzero(anchor < 0)
+        plus, minus = (np.flatnonzero((side > 0).any(axis=0)) for side in (anchors, -anchors))
         for k, t in enumerate(self.depths):
             met = np.zeros(n, bool)
             met[self.order[n - t :, plus]] = True
@@ -68,7 +73,7 @@ class Lists:
                 met[:] = True
             new = np.flatnonzero(met & ~seen)
             seen |= met
-            yield k, new, self.values[new] @ anchor
+            yield k, new
 
 
 def _python(values: np.ndarray) -> np.ndarray:
@@ -80,14 +85,22 @@ class Best:
 
     def __init__(self, most: int, low=None, high=None):
         self.most, self.low, self.high = most, low, high
-        self.at, self.scores = np.zeros(0, np.int64), None
+        self.empty = low is not None and low > high
+        self.at, self.scores = np.zeros(0, np.int64), np.zeros(0)
+
+    @property
+    def least(self):
+        """No lower score can enter."""
+        full = self.scores[-1] if len(self.at) == self.most else -float("inf")
+        return full if self.low is None else max(full, self.low)
 
     def offer(self, at: np.ndarray, scores: np.ndarray) -> None:
-        if self.low is not None:
-            inside = (scores >= self.low) & (scores <= self.high)
-            at, scores = at[inside], scores[inside]
-        if self.scores is not None:
-            at, scores = np.concatenate((self.at, at)), np.concatenate((self.scores, scores))
+        inside = scores >= self.least
+        if self.high is not None:
+            inside &= scores <= self.high
+        if not inside.any():
+            return
+        at, scores = np.concatenate((self.at, at[inside])), np.concatenate((self.scores, scores[inside]))
         order = np.argsort(at, kind="stable")
         at, scores = at[order], scores[order]
         if len(at) > self.most:
@@ -135,24 +148,35 @@ def search(anchors: pa.Table, rows: pa.Table, most: int, low: int, high: int) ->
         thresholds = lists.thresholds(q)
         labels, own = some[0]["label"].to_numpy(), some[0]["row"].to_numpy()
         wanted = some[0]["positives"].to_pylist() if negatives else [[None]] * len(q)
-        for a in range(len(q)):
-            if negatives:
-                spans = [(p, *window(p["score"], low, high)) for p in wanted[a]]
-                open_ = [(p, Best(most, lo, hi)) for p, lo, hi in spans if lo <= hi]
-            else:
-                open_ = [(None, Best(most))]
-            windows = list(open_)
-            for k, new, scores in lists.scan(q[a]) if open_ else ():
-                match = lists.labels[new] != labels[a] if negatives else (lists.labels[new] == labels[a]) & (numbers[new] != own[a])
-                at, scores = new[match], np.clip(scores[match], -LONG, LONG) if scores.dtype == object else scores[match]
-                for _, best in open_:
-                    best.offer(at, scores)
-                open_ = [(p, b) for p, b in open_ if not b.settled(thresholds[a, k])]
-                if not open_:
+        for first in range(0, len(q), TOGETHER):
+            asking = {
+                a: [(p, Best(most, *(window(p["score"], low, high) if p else ()))) for p in wanted[a]]
+                for a in range(first, min(first + TOGETHER, len(q)))
+            }
+            still = {a: [b for _, b in some_ if not b.empty] for a, some_ in asking.items()}
+            still = {a: bests for a, bests in still.items() if bests}
+            for k, new in lists.scan(q[first : first + TOGETHER]):
+                if not still:
                     break
-            for p, best in windows:
-                for i, score in zip(best.at.tolist(), best.scores.tolist() if len(best.at) else (), strict=True):
-                    yield a, some[0], p, ids[i], int(numbers[i]), int(score)
+                # Random access: the scores of the rows met, for all anchors that still ask.
+                scores = lists.values[new] @ q[list(still)].T
+                if scores.dtype == object:
+                    scores = np.clip(scores, -LONG, LONG)
+                near = lists.labels[new]
+                for column, (a, bests) in enumerate(list(still.items())):
+                    mine, least = scores[:, column], min(b.least for b in bests)
+                    at = np.flatnonzero(mine >= least)
+                    match = near[at] == labels[a]
+                    at = at[~match] if negatives else at[match & (numbers[new[at]] != own[a])]
+                    for best in bests:
+                        best.offer(new[at], mine[at])
+                    still[a] = [b for b in bests if not b.settled(thresholds[a, k])]
+                    if not still[a]:
+                        del still[a]
+            for a, some_ in asking.items():
+                for p, best in some_:
+                    for i, score in zip(best.at.tolist(), best.scores.tolist(), strict=True):
+                        yield a, some[0], p, ids[i], int(numbers[i]), int(score)
 
 
 _FOUND = "anchor long, anchor_id long, positive_rank int, positive_id long, positive_score long, id long, row long, score long"

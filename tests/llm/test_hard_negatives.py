@@ -79,9 +79,9 @@ def test_sorted_access_stops_early():
     for anchor in np.array([[5.0, 9.0, 2.0], [7.0, 1.0, 0.0], [-1.0, 3.0, 2.0]]):
         best, met = Best(5), 0
         bounds = lists.thresholds(anchor[None])[0]
-        for k, new, scores in lists.scan(anchor):
+        for k, new in lists.scan(anchor[None]):
             met += len(new)
-            best.offer(new, scores)
+            best.offer(new, values[new] @ anchor)
             if best.settled(bounds[k]):
                 break
         order = sorted(range(4000), key=lambda i: (-(values[i] @ anchor), i))[:5]
