@@ -73,23 +73,23 @@ def branches(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     )
     answered = steps.where("up IS NOT NULL").select(F.col("up").alias("answered")).distinct()
     leaves = steps.select("node").join(answered, F.col("node") == F.col("answered"), "left_anti")
-    jumps, left = [], steps.where("up IS NOT NULL").count()
+    jumps, done, going = [], steps.where("up IS NULL"), steps.where("up IS NOT NULL")
+    left = going.count()
     for _ in range(ROUNDS):
         if not left:
             break
-        jumps.append(steps.where("up IS NOT NULL").select("node", "up"))
-        far = steps.select(F.col("node").alias("at"), F.col("up").alias("on"), F.col("n").alias("m"), F.col("sum").alias("more"))
-        joined = steps.join(far, F.col("up") == F.col("at"), "left").select(
-            "node",
-            F.col("on").alias("up"),
-            (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"),
-            (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"),
+        jumps.append(going.select("node", "up"))
+        # Only messages that are still on their way are joined; those that are done are looked up at most.
+        far = done.union(going).select(F.col("node").alias("at"), F.col("up").alias("on"), F.col("n").alias("m"), F.col("sum").alias("more"))
+        joined = going.join(far, F.col("up") == F.col("at")).select(
+            "node", F.col("on").alias("up"), (F.col("n") + F.col("m")).alias("n"), (F.col("sum") + F.col("more")).alias("sum")
         )
-        steps = landed(joined, "jumps")
-        before, left = left, steps.where("up IS NOT NULL").count()
+        moved = landed(joined, "jumps")
+        done, going = done.union(moved.where("up IS NULL")), moved.where("up IS NOT NULL")
+        before, left = left, going.count()
         if left == before:
             break
-    done = steps.where("up IS NULL").select("node", F.col("n").alias("n_turns"), (F.col("sum") / F.col("n")).alias("score"))
+    done = done.select("node", F.col("n").alias("n_turns"), (F.col("sum") / F.col("n")).alias("score"))
     return done.join(leaves, "node", "left_semi"), jumps
 
 
