@@ -1,19 +1,17 @@
-"""Line dedup: whole repeated passages, or content-defined chunks of lines.
+"""Line dedup: content-defined chunks of lines, of which the first stays.
 
 Built from DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import landed, let, query, table
 
-# The rolling hash of a line and the one before it, modulo a prime.
-FACTOR, PRIME = 31, 4294967291
+# The rolling hash over two lines is a polynomial modulo a prime, computed for two halves of the line hashes.
+FACTOR, PRIME = 1_000_003, 2**31 - 1
 # A line of so many words is a chunk of its own; a chunk of several lines needs the lower number.
 LONG_WORDS = 50
 CHUNK_WORDS = 12
@@ -33,58 +31,79 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _digest(text: Column) -> Column:
-    return F.substring(F.unhex(F.sha2(text, 256)), 1, 20)
-
-
 def _same(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["key"] == right["key"])
 
 
+def _lanes(h: Column) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(h, 33), h.bitwiseAND(F.lit(PRIME))
+
+
+def _rolled(before: Column, h: Column) -> Column:
+    """The rolling hash moved on by one line: two polynomials modulo a prime, side by side in one number."""
+    high, low = ((x * FACTOR + y) % PRIME for x, y in zip(_lanes(before), _lanes(h), strict=True))
+    return F.shiftleft(high, 31) + low
+
+
+def line_pairs(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, pos, pair, last, next, words, next_words``: every line and the one after it, as hashes.
+
+    ``pair`` is the rolling hash over both, ``last`` and ``next`` are the hashes of the lines around them (null at the ends).
+    """
+    rolled = let(
+        F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).cast("int").alias("w"))),
+        lambda line: F.transform(
+            F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))),
+            lambda x, i: F.struct(
+                _rolled(x["h"], F.get(line, i + 1)["h"]).alias("pair"),
+                F.get(line, i - 1)["h"].alias("last"),
+                F.get(line, i + 2)["h"].alias("next"),
+                x["w"].alias("words"),
+                F.get(line, i + 1)["w"].alias("next_words"),
+            ),
+        ),
+    )
+    rows = docs.select("doc_id", _key(F.col("text")).alias("key"), F.posexplode(rolled).alias("pos", "x"))
+    return rows.select("doc_id", "key", "pos", "x.*")
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """``doc_id, key, start, n_lines, hash, owner``: chunks of lines that occur more than once.
 
-    Chunks are cut from runs of lines that all occur elsewhere: at the ends of the run, around
-    long lines, and after each line whose rolling hash (of it and the line before) is below that
-    of its neighbours. Lines inserted or lost move only the boundaries next to them, and every line of
-    a run of short lines is in a chunk of at least two. ``owner`` marks the first place of the chunk, by
-    doc_id (nulls last), text digest and line.
+    A boundary stands between two pairs of lines where the rolling hash shows that one of them also occurs without the
+    other, anywhere. So boundaries follow from what the lines are, never from where they stand: a passage that
+    repeats is cut in the same way in every place, whatever is around it, and every place of a chunk is whole.
+    Neighbouring chunks share a line. A line of ``LONG_WORDS`` words is a chunk of its own as well.
+    ``owner`` marks the first place of the chunk, by doc_id (nulls last), text digest and line.
 
-    Lines travel as digests. Line and chunk counts are combined before the shuffle; lines that occur
-    once go no further than their count.
+    Lines travel as hashes. Counts are combined before the shuffle; pairs that occur once go no further.
     """
-    rows = docs.select("doc_id", _key(F.col("text")).alias("key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    rows = rows.select("doc_id", "key", "pos", F.unhex(F.md5("line")).alias("h"), _words(F.col("line")).alias("words"))
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    # A table of its own: the join then shuffles anew and may split the rows of a frequent line.
-    often = landed(often, "repeated-lines")
-    rows = rows.join(often, "h", "left_semi").dropDuplicates(["doc_id", "key", "pos"])
+    rows = line_pairs(docs)
+    around = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False)) | (F.count(c).between(1, F.count(F.lit(1)) - 1))
+    pairs = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), around("last").alias("opens"), around("next").alias("closes"))
+    # A table of its own: the join then shuffles anew and may split the rows of a frequent pair.
+    pairs = landed(pairs.where("n > 1").drop("n"), "repeated-pairs")
+    rows = rows.drop("last", "next").join(pairs, "pair").dropDuplicates(["doc_id", "key", "pos"])
     place = Window.partitionBy("doc_id", "key").orderBy("pos")
-    long = F.col("words") >= LONG_WORDS
-    gap = F.coalesce(F.col("pos") != F.lag("pos").over(place) + 1, F.lit(True))
-    rows = rows.select(
-        "*",
-        (gap | long | F.coalesce(F.lag(long).over(place), F.lit(False))).alias("opens"),
-        F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long").alias("a"),
-    )
-    before = F.when(F.col("opens"), 0).otherwise(F.lag("a").over(place))
-    rows = rows.select("*", ((F.col("a") + FACTOR * before) % PRIME).alias("rolled"))
-    more = lambda k: ~F.coalesce(F.lead("opens", k).over(place), F.lit(True))
-    low = (F.col("rolled") < F.lag("rolled").over(place)) & (F.col("rolled") <= F.lead("rolled").over(place))
-    rows = rows.select("*", (~F.col("opens") & more(1) & more(2) & low).alias("closes"))
-    cut = F.col("opens") | F.coalesce(F.lag("closes").over(place), F.lit(False))
+    apart = F.coalesce(F.col("pos") != F.lag("pos").over(place) + 1, F.lit(True))
+    cut = F.col("opens") | apart | F.coalesce(F.lag("closes").over(place), F.lit(False))
     rows = rows.select("*", cut.cast("int").alias("cut"))
     chunk = F.sum("cut").over(place.rowsBetween(Window.unboundedPreceding, 0)).alias("chunk")
-    rows = rows.select("doc_id", "key", chunk, "pos", "h", "words")
-    chunks = rows.groupBy("doc_id", "key", "chunk").agg(
-        F.min("pos").alias("start"),
-        F.count(F.lit(1)).cast("int").alias("n_lines"),
-        F.sum("words").alias("words"),
-        F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("body"),
+    rows = rows.select("doc_id", "key", chunk, "pos", "pair", "words", "next_words")
+    chunks = (
+        rows.groupBy("doc_id", "key", "chunk")
+        .agg(
+            F.min("pos").alias("start"),
+            (F.count(F.lit(1)) + 1).cast("int").alias("n_lines"),
+            (F.sum("words") + F.max_by("next_words", "pos")).alias("words"),
+            F.array_sort(F.collect_list(F.struct("pos", "pair"))).alias("body"),
+        )
+        .where(F.col("words") >= CHUNK_WORDS)
+        .select("doc_id", "key", "start", "n_lines", F.unhex(F.md5(F.array_join(F.col("body.pair").cast("array<string>"), ","))).alias("hash"))
     )
-    fits = (F.col("words") >= LONG_WORDS) | ((F.col("n_lines") > 1) & (F.col("words") >= CHUNK_WORDS))
-    digest = F.unhex(F.md5(F.array_join(F.transform("body", lambda x: F.hex(x["h"])), "")))
-    chunks = landed(chunks.where(fits).select("doc_id", "key", "start", "n_lines", digest.alias("hash")), "line-chunks")
+    long = docs.select("doc_id", _key(F.col("text")).alias("key"), F.posexplode(_lines(F.col("text"))).alias("start", "line"))
+    long = long.where(_words(F.col("line")) >= LONG_WORDS).select("doc_id", "key", "start", F.lit(1).alias("n_lines"), _key(F.col("line")).alias("hash"))
+    chunks = landed(chunks.union(long.dropDuplicates(["doc_id", "key", "start"])), "line-chunks")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "start")
     first = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1")
     return chunks.join(first, "hash").select(
@@ -93,7 +112,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, cuts`` (start and n_lines): chunks to remove, compared byte by byte with the one that stays."""
+    """``doc_id, key, cuts, kept`` (start and n_lines): chunks to remove, compared byte by byte with the one that stays,
+    and the chunks that stay here."""
     plan = landed(repeated_chunks(docs), "repeated-chunks")
     per = plan.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n_lines", "hash", "owner")).alias("at"))
     own = docs.select("doc_id", _key(F.col("text")).alias("key"), "text")
@@ -120,136 +140,72 @@ def removals(docs: DataFrame) -> DataFrame:
     # A repeated row brings its own chunks again; one of each is enough.
     kept = bodies.where("owner").select("hash", F.col("body").alias("kept")).dropDuplicates(["hash"])
     equal = bodies.where("NOT owner").join(kept, "hash").where(F.col("body") == F.col("kept"))
-    return equal.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n_lines")).alias("cuts"))
-
+    place = F.struct("start", "n_lines")
+    gone = equal.select("doc_id", "key", place.alias("cut"), F.lit(None).cast("struct<start:int,n_lines:int>").alias("stay"))
+    here = bodies.where("owner").select("doc_id", "key", F.lit(None).cast("struct<start:int,n_lines:int>"), place)
+    return gone.union(here).groupBy("doc_id", "key").agg(F.collect_set("cut").alias("cuts"), F.collect_set("stay").alias("kept"))
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, cuts`` (start and n_lines, disjoint): lines inside passages that stand elsewhere before.
 
-    A passage is a line of ``LONG_WORDS`` words, or two lines and more with ``CHUNK_WORDS`` words. From
-    every line the shortest passage ahead and the shortest one back is looked up; what they hold follows
-    from their own lines only, so the lines around a passage decide nothing, and together they cover every
-    line of every repeated passage. Places that overlap the first place of a passage stay.
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` rid of repeated chunks, and ``n_lines, n_removed``.
 
-    Lines and passages are compared by 160 bits of SHA-256.
-    """
-    rows = docs.select("doc_id", _key(F.col("text")).alias("key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    rows = rows.select("doc_id", "key", "pos", _digest(F.col("line")).alias("h"), _words(F.col("line")).alias("words"))
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    often = landed(often, "repeated-lines")
-    rows = rows.join(often, "h", "left_semi").dropDuplicates(["doc_id", "key", "pos"])
-    place = Window.partitionBy("doc_id", "key").orderBy("pos")
-    gap = F.coalesce(F.col("pos") != F.lag("pos").over(place) + 1, F.lit(True))
-    # Words up to the line's end; a gap counts as more words than a passage looks across.
-    rows = rows.select("*", F.hex("h").alias("x"), gap.alias("gap"))
-    rows = rows.select("*", F.sum(F.col("words") + F.when(F.col("gap"), LONG_WORDS).otherwise(0)).over(place).alias("upto"))
-    rows = rows.select(
-        "*",
-        (F.col("upto") - F.col("words")).alias("before"),
-        F.when(~F.lead("gap").over(place), F.struct(F.lead("x").over(place).alias("x"), F.lead("words").over(place).alias("w"))).alias("next"),
-        F.when(~F.col("gap"), F.struct(F.lag("x").over(place).alias("x"), F.lag("words").over(place).alias("w"))).alias("last"),
-    )
-    sides = Window.partitionBy("doc_id", "key")
-    ahead = sides.orderBy("before").rangeBetween(0, CHUNK_WORDS - 1)
-    back = sides.orderBy("upto").rangeBetween(1 - CHUNK_WORDS, 0)
-    rows = rows.select(
-        *("doc_id", "key", "pos", "words", "x", "next", "last"),
-        F.collect_list("x").over(ahead).alias("a"), F.sum("words").over(ahead).alias("a_words"),
-        F.collect_list("x").over(back).alias("b"), F.sum("words").over(back).alias("b_words"),
-    )
-    alone, alone_back = F.size("a") == 1, F.size("b") == 1
-    long = F.col("words") >= LONG_WORDS
-    forward = (
-        F.when(long, F.array("x"))
-        .when(alone & F.col("next").isNotNull() & (F.col("words") + F.col("next.w") >= CHUNK_WORDS), F.array("x", "next.x"))
-        .when(~alone & (F.col("a_words") >= CHUNK_WORDS), F.col("a"))
-    )
-    backward = (
-        F.when(long, F.array("x"))
-        .when(alone_back & F.col("last").isNotNull() & (F.col("words") + F.col("last.w") >= CHUNK_WORDS), F.array("last.x", "x"))
-        .when(~alone_back & (F.col("b_words") >= CHUNK_WORDS), F.col("b"))
-    )
-    found = lambda start, body: F.struct(
-        start.alias("start"), F.size(body).alias("n_lines"), _digest(F.array_join(body, "")).alias("hash")
-    )
-    rows = rows.select("doc_id", "key", "pos", forward.alias("f"), backward.alias("b"))
-    both = F.array(
-        F.when(F.col("f").isNotNull(), found(F.col("pos"), F.col("f"))),
-        F.when(F.col("b").isNotNull(), found(F.col("pos") - F.size("b") + 1, F.col("b"))),
-    )
-    places = rows.select("doc_id", "key", F.inline(F.array_compact(both))).dropDuplicates(["doc_id", "key", "start", "n_lines"])
-    places = landed(places, "line-passages")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
-    first = places.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1")
-    own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))
-    later = places.join(first, "hash").where(~own | (F.col("start") >= F.col("first.start") + F.col("n_lines")))
-    end = (F.col("start") + F.col("n_lines")).alias("end")
-    later = later.select("doc_id", "key", "start", end)
-    sofar = sides.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    later = later.select("*", F.coalesce(F.col("start") > F.max("end").over(sofar), F.lit(True)).cast("int").alias("opens"))
-    group = F.sum("opens").over(sides.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
-    merged = later.select("*", group.alias("g")).groupBy("doc_id", "key", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cut = F.struct("start", (F.col("end") - F.col("start")).alias("n_lines"))
-    return merged.groupBy("doc_id", "key").agg(F.collect_list(cut).alias("cuts"))
-
-
-def dedup_lines(docs: DataFrame, law: Callable[[DataFrame], DataFrame] = repeated_passages) -> DataFrame:
-    """``docs`` with ``text`` rid of repeated passages (or of what ``law`` cuts), and ``n_lines, n_removed``.
-
-    The first place of every passage stays, but for lines that another passage has before. All other columns
-    of ``docs`` stay too, but for those with one of our names. Null texts stay null; a text whose lines all go
-    is empty; rows that repeat both id and text are one place and share their result. An empty table gives an
-    empty result.
+    The first place of every chunk stays whole: what overlaps it is cut around it. All other columns of ``docs`` stay
+    too, but for those with one of our names. Null texts stay null; a text whose lines all go is empty;
+    rows that repeat both id and text are one place and share their result. Of equal places the one of least
+    doc_id (null last), then of least text digest, then the earlier line is the first. An empty table gives an empty
+    result.
     """
-    cuts = law(docs).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("cuts").alias("__cuts"))
-    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["__id"]) & (_key(docs["text"]) == cuts["__key"]), "left")
-    kept = let(
-        F.struct(_lines(docs["text"]).alias("lines"), F.col("__cuts").alias("cuts")),
-        lambda d: F.array_join(
-            F.filter(
-                d["lines"],
-                lambda _, i: ~F.exists(d["cuts"], lambda c: (i >= c["start"]) & (i < c["start"] + c["n_lines"])),
-            ),
-            BREAK,
-        ),
+    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return cut_lines(docs, "n_lines", "n_removed").select(*rest, "n_lines", "n_removed")
+
+
+def cut_lines(docs: DataFrame, total: str, removed: str) -> DataFrame:
+    """``docs`` with texts cut as in ``dedup_lines``, and columns of the given names for lines before and lines removed."""
+    found = removals(docs)
+    found = found.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "key", "cuts", "kept")])
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__doc_id"]) & (_key(docs["text"]) == found["__key"]), "left")
+    within = lambda places, i: F.exists(places, lambda c: (i >= c["start"]) & (i < c["start"] + c["n_lines"]))
+    left = let(
+        F.struct(_lines(docs["text"]).alias("lines"), F.col("__cuts").alias("cuts"), F.col("__kept").alias("kept")),
+        lambda d: F.filter(d["lines"], lambda _, i: ~within(d["cuts"], i) | within(d["kept"], i)),
     )
-    removed = F.aggregate("__cuts", F.lit(0).cast("long"), lambda n, c: n + c["n_lines"])
-    text = F.when(F.col("__cuts").isNull(), docs["text"]).otherwise(kept)
-    return joined.select(
-        *[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.size(_lines(docs["text"])).cast("long").alias("n_lines"),
-        F.coalesce(removed, F.lit(0)).alias("n_removed"),
+    size = F.size(_lines(docs["text"])).cast("long")
+    rows = joined.select(
+        *[docs[c] for c in docs.columns if c not in (total, removed)],
+        size.alias(total),
+        F.when(F.col("__cuts").isNotNull() & (F.size("__cuts") > 0), left).alias("__left"),
     )
+    text = F.when(F.col("__left").isNull(), F.col("text")).otherwise(F.array_join("__left", BREAK))
+    gone = F.when(F.col("__left").isNull(), 0).otherwise(F.col(total) - F.size("__left")).cast("long")
+    return rows.select(*[text.alias("text") if c == "text" else c for c in rows.columns if c != "__left"], gone.alias(removed))
 
 
 SQL = f"""
 WITH raw AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
 lines AS (SELECT r, doc_id, t, unnest(string_split(t, chr(10))) AS line,
                  unnest(range(len(string_split(t, chr(10))))) AS pos FROM raw),
-often AS (SELECT line FROM lines GROUP BY line HAVING count(*) > 1),
-one AS (SELECT DISTINCT doc_id, t, line, pos FROM lines WHERE line IN (SELECT line FROM often)),
-w AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words,
-        CAST(concat('0x', substr(md5(line), 1, 8)) AS BIGINT) AS a FROM one),
-v AS (SELECT *, coalesce(pos <> lag(pos) OVER p + 1, true) OR words >= {LONG_WORDS}
-        OR coalesce(lag(words) OVER p >= {LONG_WORDS}, false) AS opens
+one AS (SELECT DISTINCT doc_id, t, line, pos, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM lines),
+pairs AS (SELECT *, lag(line) OVER p AS before, lead(line) OVER p AS b, lead(line, 2) OVER p AS after,
+                 lead(words) OVER p AS b_words
+          FROM one WINDOW p AS (PARTITION BY doc_id, t ORDER BY pos)),
+often AS (SELECT line, b, count(DISTINCT before) + (count(before) < count(*))::INT > 1 AS opens,
+                 count(DISTINCT after) + (count(after) < count(*))::INT > 1 AS closes
+          FROM pairs WHERE b IS NOT NULL GROUP BY line, b HAVING count(*) > 1),
+w AS (SELECT doc_id, t, pos, line, b, words, b_words, opens, closes FROM pairs JOIN often USING (line, b)),
+x AS (SELECT *, opens OR coalesce(pos <> lag(pos) OVER p + 1, true) OR coalesce(lag(closes) OVER p, false) AS cut
       FROM w WINDOW p AS (PARTITION BY doc_id, t ORDER BY pos)),
-u AS (SELECT *, (a + {FACTOR} * CASE WHEN opens THEN 0 ELSE lag(a) OVER p END) % {PRIME} AS rolled
-      FROM v WINDOW p AS (PARTITION BY doc_id, t ORDER BY pos)),
-x AS (SELECT *, NOT opens AND NOT coalesce(lead(opens) OVER p, true) AND NOT coalesce(lead(opens, 2) OVER p, true)
-        AND rolled < lag(rolled) OVER p AND rolled <= lead(rolled) OVER p AS closes
-      FROM u WINDOW p AS (PARTITION BY doc_id, t ORDER BY pos)),
-y AS (SELECT *, opens OR coalesce(lag(closes) OVER p, false) AS cut
-      FROM x WINDOW p AS (PARTITION BY doc_id, t ORDER BY pos)),
-z AS (SELECT *, sum(cut::INT) OVER (PARTITION BY doc_id, t ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chunk FROM y),
-chunks AS (SELECT doc_id, t, chunk, min(pos) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS body
-           FROM z GROUP BY doc_id, t, chunk
-           HAVING sum(words) >= {LONG_WORDS} OR (count(*) > 1 AND sum(words) >= {CHUNK_WORDS})),
-later AS (SELECT doc_id, t, start, n FROM (
-            SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST, md5(t), start) AS k FROM chunks)
-          WHERE k > 1),
+z AS (SELECT *, sum(cut::INT) OVER (PARTITION BY doc_id, t ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chunk FROM x),
+chunks AS (SELECT doc_id, t, min(pos) AS start, count(*) + 1 AS n,
+                  concat(string_agg(line, chr(10) ORDER BY pos), chr(10), max_by(b, pos)) AS body
+           FROM z GROUP BY doc_id, t, chunk HAVING sum(words) + max_by(b_words, pos) >= {CHUNK_WORDS}
+           UNION ALL SELECT doc_id, t, pos, 1, line FROM one WHERE words >= {LONG_WORDS}),
+placed AS (SELECT doc_id, t, start, n,
+                  row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST, md5(t), start) AS k,
+                  count(*) OVER (PARTITION BY body) AS places FROM chunks),
+covered AS (SELECT DISTINCT doc_id, t, k = 1 AS stays, unnest(range(start, start + n)) AS pos FROM placed WHERE places > 1),
+gone AS (SELECT doc_id, t, pos FROM covered GROUP BY doc_id, t, pos HAVING NOT bool_or(stays)),
 kept AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) AS body, count(*) AS n FROM lines l
-         WHERE NOT EXISTS (SELECT 1 FROM later c WHERE c.doc_id IS NOT DISTINCT FROM l.doc_id AND c.t = l.t
-                           AND l.pos >= c.start AND l.pos < c.start + c.n)
+         WHERE NOT EXISTS (SELECT 1 FROM gone c WHERE c.doc_id IS NOT DISTINCT FROM l.doc_id AND c.t = l.t AND l.pos = c.pos)
          GROUP BY r)
 SELECT doc_id, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines,
        CAST(len(string_split(t, chr(10))) - coalesce(n, 0) AS BIGINT) AS n_removed,
@@ -262,5 +218,4 @@ FROM raw LEFT JOIN kept USING (r)
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    # Its twin states the law of chunks; the pipeline cuts whole passages.
-    return dedup_lines(docs, removals).select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("text_sha256"))
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("text_sha256"))
