@@ -21,9 +21,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the line chunks that stand elsewhere before; ``n_chars`` follows the text."""
-    cut = lines.dedup_lines(docs)
+    cut = lines.cut_lines(docs, "__lines", "__removed")
     if "n_chars" in docs.columns:
-        shorter = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        shorter = F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", shorter.cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
