@@ -11,6 +11,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PIECES = 25_000
 GROUP_CHARS = 1_000_000
 SLICE_CHARS = 1_000_000
-REMEMBERED = 80_000
-# Pieces of more bytes than this take the query that contracts many equal pairs at once.
+REMEMBERED = 200_000
+# Pieces of more bytes than this take the query that contracts many equal pairs at once; the ids are the same.
 LONG_PIECE = 64
 
 # Every row knows its successor (place and token). A round looks up the rank of each pair, takes the
@@ -76,10 +77,9 @@ WITH RECURSIVE step(word, pos, tok, live) AS (
    SELECT word, pos, CASE WHEN take THEN least ELSE tok END, least IS NOT NULL FROM gone WHERE NOT eaten)
 )
 """
-# Ordered aggregation: the ids of each word in order, and their bytes put together again.
+# Ordered aggregation: the ids of each word in order, and the bytes of each row of ids put together again.
 _COLLECT = """
-SELECT word, list(tok ORDER BY pos) AS ids, string_agg(v.hex, '' ORDER BY pos) AS hex
-FROM step JOIN vocabulary v ON v.id = tok WHERE NOT live GROUP BY word
+SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word
 """
 _DECODE = """
 SELECT row, string_agg(v.hex, '' ORDER BY pos) AS hex, count(*) AS n
@@ -114,7 +114,7 @@ class Engine:
                 lower.update(x for x in (left, right) if x is not None and x > rank)
         left, right, merged = np.array(rows or np.zeros((0, 3)), np.int64).T
         bulk = ~np.isin(merged, list(lower))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         merges = pa.table({"pair": left * 4194304 + right, "merged": merged.astype(np.int32), "bulk": bulk})
         words = pa.table(
             {"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}
@@ -127,8 +127,8 @@ class Engine:
         self.chunks: dict[str, Value] = {}
         self.older: dict[str, Value] = {}
 
-    def _query(self, sql: str, words: list[bytes]) -> list[Value]:
-        """The values of ``words`` in order; each has at least one byte."""
+    def _query(self, sql: str, words: list[bytes]) -> list[bytes]:
+        """The ids of ``words`` in order; each has at least one byte."""
         data = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(sizes) - sizes
@@ -148,21 +148,17 @@ class Engine:
         self.db.register("pieces", pieces)
         got = self.db.sql(f"SELECT * FROM ({sql + _COLLECT}) ORDER BY word").to_arrow_table()
         self.db.unregister("pieces")
-        ids, text = got["ids"].combine_chunks(), got["hex"].cast(pa.large_string()).combine_chunks()
+        ids = got["ids"].combine_chunks()
         flat, ends = ids.flatten().to_numpy().astype(np.int32).tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-        marks = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        decoded = bytes.fromhex(text.buffers()[2].to_pybytes()[marks[0] : marks[-1]].decode())
-        marks = ((marks - marks[0]) // 2).tolist()
-        flat_of = [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)]
-        return list(zip(flat_of, [decoded[a:b] for a, b in zip(marks, marks[1:], strict=False)], strict=True))
-
-    def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, Value]:
-        """Ids and decoded bytes of distinct pieces. A piece that is a token is that token."""
-        out: dict[bytes, Value] = {}
+        return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct pieces. A piece that is a token is that token."""
+        out: dict[bytes, bytes] = {}
         long, short = [], []
         for p in pieces:
             if (rank := self.ranks.get(p)) is not None:
-                out[p] = (rank.to_bytes(4, "little"), p)
+                out[p] = rank.to_bytes(4, "little")
             else:
                 (long if len(p) > LONG_PIECE else short).append(p)
         for sql, words, some in ((_ENCODE, short, PIECES), (_ENCODE_LONG, long, 1000)):
@@ -176,6 +172,21 @@ class Engine:
                 at = end
         return out
 
+    def decode(self, lists: list[bytes]) -> list[bytes]:
+        """The bytes of every row of ids (int32 bytes). An id outside the vocabulary is an error."""
+        flat = np.frombuffer(b"".join(lists), np.int32)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        rows = {"row": np.repeat(np.arange(len(lists), dtype=np.int32), sizes), "pos": np.arange(len(flat)), "id": flat}
+        self.db.register("tokens", pa.table(rows))
+        got = self.db.sql(_DECODE).to_arrow_table()
+        self.db.unregister("tokens")
+        if (pa.compute.sum(got["n"]).as_py() or 0) != len(flat):
+            raise ValueError("an id is not in the vocabulary")
+        out = [b""] * len(lists)
+        for row, text in zip(got["row"].to_pylist(), got["hex"].to_pylist(), strict=True):
+            out[row] = bytes.fromhex(text)
+        return out
+
     def values(self, parts: list[list[str]]) -> None:
         """Makes every chunk of ``parts`` known."""
         if len(self.chunks) > REMEMBERED:
@@ -189,11 +200,18 @@ class Engine:
         pieces = {p for some in cut.values() for p in some}
         fresh = [p for p in pieces.difference(self.chunks) if not self._recall(p)]
         coded = self.encode_pieces([p.encode() for p in fresh])
-        self.chunks.update((p, coded[p.encode()]) for p in fresh)
+        ids = [coded[p.encode()] for p in fresh]
+        # What is remembered next to the ids is what they decode to, so a text's bytes are those of its ids.
+        for at in range(0, len(fresh), PIECES):
+            some = ids[at : at + PIECES]
+            self.chunks.update(zip(fresh[at : at + PIECES], zip(some, self.decode(some), strict=True), strict=True))
         for c, some in cut.items():
             if len(some) > 1:
                 self.chunks[c] = _joined([self.chunks[p] for p in some])
 
+    def forget(self) -> None:
+        self.chunks, self.older = {}, {}
+
     def _recall(self, chunk: str) -> bool:
         value = self.older.get(chunk)
         if value is not None:
@@ -290,6 +308,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
                 decoded = pa.array([v[1] for v in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists, decoded], ["doc_id", "ids", "decoded"])
+        bpe.forget()  # the worker may serve other operators next
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
@@ -319,22 +338,9 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 lists = part.column("ids").to_pylist()
-                sizes = [len(x or ()) for x in lists]
-                flat = [i for x in lists for i in x or ()]
-                rows = pa.table(
-                    {
-                        "row": np.repeat(np.arange(len(lists), dtype=np.int32), sizes),
-                        "pos": pa.array(np.arange(len(flat), dtype=np.int64)),
-                        "id": pa.array(flat, pa.int32()),
-                    }
-                )
-                bpe.db.register("tokens", rows)
-                got = bpe.db.sql(_DECODE).fetchall()
-                bpe.db.unregister("tokens")
-                if sum(n for _, _, n in got) != len(flat):
-                    raise ValueError("an id is null or not in the vocabulary")
-                found = {row: bytes.fromhex(text) for row, text, _ in got}
-                decoded = pa.array([found.get(k, b"") for k in range(len(lists))], pa.binary())
+                if any(i is None for x in lists for i in x or ()):
+                    raise ValueError("an id is null")
+                decoded = pa.array(bpe.decode([np.array(x or (), np.int32).tobytes() for x in lists]), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), decoded], ["doc_id", "decoded"])
 
     rows = tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))

@@ -54,3 +54,11 @@ def test_rows_with_nulls_repeats_and_other_columns(spark, library):
     back = bpe.decode(bpe.encode(docs).select("doc_id", "ids"))
     assert sorted(bytes(r.decoded) for r in back.collect()) == sorted((t or "").encode() for _, t, _ in rows)
     assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_decoded_bytes_are_those_of_the_ids():
+    wrong = bpe.Engine(*bpe._defaults(None, None))
+    ids = wrong.ranks[b" the"], wrong.ranks[b" was"]
+    wrong.ranks[b" the"] = ids[1]
+    got, decoded = wrong.encode(["in the sea"])[0]
+    assert ids[1] in np.frombuffer(got, np.int32).tolist() and decoded == b"in was sea"
