@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,19 +49,6 @@ def null_counts(df: DataFrame, only_present: bool = True) -> DataFrame:
     return out.filter("missing > 0") if only_present else out
 
 
-def audit_pipeline(df: DataFrame, model: PipelineModel, by: str | None = None) -> DataFrame:
-    """Audit before the first step and after each one. Every step costs one aggregation,
-    so this is asked for, never implied."""
-    audits, current = [column_audit(df, "input")], df
-    for i, stage in enumerate(model.stages):
-        current = stage.transform(current)
-        audits.append(column_audit(current, f"{i + 1} {step_name(stage)}"))
-    out = audits[0]
-    for audit in audits[1:]:
-        out = out.unionByName(audit)
-    return out.withColumn("data", F.lit(by)) if by else out
-
-
 def step_name(stage: Transformer) -> str:
     return type(stage).__name__.removesuffix("Model")
 

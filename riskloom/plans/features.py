@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from ..operators import features as ops
-from ..operators import quality, split
+from ..operators import runaudit, split
 from ..operators.quality import modes
 from ..schema import RAW_COLUMNS
 from ..sources.tables import loans, table
@@ -382,6 +381,17 @@ def fit_train_transform_all(spark, sf_dir):
     )
 
 
+def _fitted_run(spark, sf_dir):
+    """All rows with their split, and the pipeline fitted on the training ones."""
+    marked = split.with_split(loans(spark, sf_dir).select("row_id", *RAW_COLUMNS, "LoanApproved", "RiskScore"))
+    train = marked.filter("split = 'train'").select(*RAW_COLUMNS, "LoanApproved")
+    return marked, ops.build_pipeline(train, drop=["LoanApproved"]).fit(train)
+
+
+# Text of a row as given; the other 29 columns are numbers of 8 bytes.
+_TEXT = ["ApplicationDate", "EmploymentStatus", "EducationLevel", "HomeOwnershipStatus", "LoanPurpose"]
+
+
 @query(
     "d18_run_summary",
     on_loans(
@@ -389,42 +399,70 @@ def fit_train_transform_all(spark, sf_dir):
         round(avg(RiskScore), 6) AS mean, round(stddev_samp(RiskScore), 6) AS std, round(min(RiskScore), 6) AS min,
         round(quantile_cont(RiskScore, 25E-2), 6) AS p25, round(quantile_cont(RiskScore, 5E-1), 6) AS p50,
         round(quantile_cont(RiskScore, 75E-2), 6) AS p75, round(max(RiskScore), 6) AS max,
-        CAST(33 AS BIGINT) AS raw_columns, 'RiskScore' AS target, 'LoanApproved' AS removed,
+        CAST(35 AS BIGINT) AS raw_columns, 'RiskScore' AS target, 'LoanApproved' AS removed,
+        count(*) AS split_rows, count(*) AS processed_rows, CAST(60 AS BIGINT) AS processed_columns,
+        CAST(sum(8 * 29 + {' + '.join(f'strlen({c})' for c in _TEXT)}) AS BIGINT) AS split_bytes,
         'ColumnDropper,DateParts,CraftedFeatures,Polynomial,CategoryEncoder,TypeOptimizer' AS steps
         FROM loans GROUP BY 1"""
     ),
 )
 def run_summary(spark, sf_dir):
-    marked = split.with_split(loans(spark, sf_dir))
-    pipeline = ops.build_pipeline(marked.select(*RAW_COLUMNS, "LoanApproved"), drop=["LoanApproved"])
-    stages = pipeline.getStages()
-    facts = {
-        "raw_columns": F.lit(len(RAW_COLUMNS)),
-        "target": F.lit("RiskScore"),
-        "removed": F.lit(",".join(stages[0].values["columns"])),
-        "steps": F.lit(",".join(type(s).__name__ for s in stages)),
-    }
-    return tidy(split.split_stats(marked, "RiskScore").withColumns(facts))
-
-
-_AUDITED = ["ApplicationDate", *ops.CRAFTED_INPUTS, "EducationLevel"]
+    marked, model = _fitted_run(spark, sf_dir)
+    shapes = runaudit.run_summary(marked, model, "RiskScore").drop("processed_bytes")
+    return tidy(split.split_stats(marked, "RiskScore").join(shapes, "split"))
+
+
+# The pipeline's steps in SQL, each on the one before it.
+_DUMMIES = {
+    "HomeOwnershipStatus": ["Other", "Own", "Rent"],
+    "EmploymentStatus": ["Self-Employed", "Unemployed"],
+    "LoanPurpose": ["Debt Consolidation", "Education", "Home", "Other"],
+}
+_POWERS = ["AnnualIncome", "CreditScore", "TotalAssets", "TotalLiabilities", "NetWorth"]
+_STEP_SQL = [
+    f"s0 AS (SELECT * EXCLUDE (row_id, MaritalStatus, RiskScore), CASE WHEN {TEST_ROWS} THEN 'test' ELSE 'train' END AS data FROM loans)",
+    "s1 AS (SELECT * EXCLUDE LoanApproved FROM s0)",
+    """s2 AS (SELECT * EXCLUDE ApplicationDate, year(CAST(ApplicationDate AS DATE)) AS applicationdate_year,
+    month(CAST(ApplicationDate AS DATE)) AS applicationdate_month, day(CAST(ApplicationDate AS DATE)) AS applicationdate_day FROM s1)""",
+    """s3 AS (SELECT *, (SavingsAccountBalance + CheckingAccountBalance) / MonthlyIncome AS liquidity_ratio,
+    MonthlyDebtPayments / MonthlyIncome AS debt_burden,
+    CAST(trunc(MonthlyIncome - MonthlyDebtPayments - MonthlyLoanPayment) AS BIGINT) AS payment_capacity,
+    LoanAmount / AnnualIncome AS loan_to_income_ratio FROM s2)""",
+    "s4 AS (SELECT *, "
+    + ", ".join(
+        f'CAST({a} AS DOUBLE) * {b} AS "{a}^2"' if a == b else f'CAST({a} AS DOUBLE) * {b} AS "{a}*{b}"'
+        for i, a in enumerate(_POWERS)
+        for b in _POWERS[i:]
+    )
+    + " FROM s3)",
+    """s5 AS (SELECT * EXCLUDE (HomeOwnershipStatus, EmploymentStatus, LoanPurpose, EducationLevel),
+    CASE EducationLevel WHEN 'High School' THEN 0 WHEN 'Associate' THEN 1 WHEN 'Bachelor' THEN 2 WHEN 'Master' THEN 3
+    ELSE 4 END AS EducationLevel, """
+    + ", ".join(f"""CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS "{c}_{v}\"""" for c, levels in _DUMMIES.items() for v in levels)
+    + " FROM s4)",
+    "s6 AS (SELECT * FROM s5)",
+]
+_STEP_NAMES = [
+    "input", "1 ColumnDropper", "2 DateParts", "3 CraftedFeatures", "4 Polynomial", "5 CategoryEncoder", "6 TypeOptimizer",
+]
 
 
 @query(
     "c15_step_audit",
     on_loans(
         " UNION ALL ".join(
-            f"""SELECT '{step}' AS step, '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS missing,
-            count(*) FILTER (TRY_CAST({c} AS DOUBLE) = 0) AS zeros FROM loans"""
-            for step, dropped in (("input", []), ("1 DateParts", ["ApplicationDate"]))
-            for c in _AUDITED
-            if c not in dropped
-        )
-        + """ UNION ALL SELECT '1 DateParts', unnest(['applicationdate_year', 'applicationdate_month',
-        'applicationdate_day']), 0, 0"""
+            f"""SELECT data, '{name}' AS step, column_name, count(*) AS row_count, count(*) FILTER (v IS NULL) AS missing,
+            count(*) FILTER (TRY_CAST(v AS DOUBLE) = 0) AS zeros,
+            round(100E0 * count(*) FILTER (TRY_CAST(v AS DOUBLE) = 0) / count(*), 6) AS zero_percent,
+            count(*) FILTER (v IS NULL) > 0 AS missing_flag,
+            100E0 * count(*) FILTER (TRY_CAST(v AS DOUBLE) = 0) / count(*) > 10 AS zero_flag
+            FROM (SELECT data, CAST(COLUMNS(* EXCLUDE data) AS VARCHAR) FROM s{k})
+                 UNPIVOT INCLUDE NULLS (v FOR column_name IN (COLUMNS(* EXCLUDE data))) GROUP BY data, column_name"""
+            for k, name in enumerate(_STEP_NAMES)
+        ),
+        *_STEP_SQL,
     ),
 )
 def step_audit(spark, sf_dir):
-    df = loans(spark, sf_dir).select(*_AUDITED)
-    model = Pipeline(stages=[ops.DateParts.of(column="ApplicationDate")]).fit(df)
-    return quality.audit_pipeline(df, model).select("step", "column_name", "missing", "zeros")
+    marked, model = _fitted_run(spark, sf_dir)
+    return tidy(runaudit.audit_run(marked, model, carried=("row_id", "RiskScore")).drop("step_no", "column_no", "bytes"))
