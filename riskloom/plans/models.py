@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import features, metrics, modelling, monitor, profile, quality, rules, split
+from ..operators import boosting, features, metrics, modelling, monitor, profile, quality, rules, split
 from ..schema import RAW_COLUMNS
 from ..session import fresh_path, settle
 from ..sources import artifacts, files
@@ -493,6 +493,52 @@ def early_stopping(spark, sf_dir):
     )
 
 
+@query(
+    "m14_boosting_stops",
+    """SELECT true AS no_round_beyond_patience, true AS stopped_before_the_last, true AS best_is_kept, true AS errors_are_those_of_the_rounds""",
+)
+def boosting_stops(spark, sf_dir):
+    """Rounds are fitted one by one; none is fitted once patience has run out, and none twice."""
+    vectors, patience = _vectors(spark, sf_dir), 3
+    train, validation = vectors.filter("split = 'train'"), vectors.filter("split = 'validation'")
+    params = {"n_estimators": 20, "learning_rate": 1.0, "max_depth": 9}
+    model, fitted, errors = boosting.boost(train, validation, params, "RiskScore", patience=patience)
+    best = errors.index(min(errors)) + 1
+    off = F.col("RiskScore") - F.col("prediction")
+    return model.transform(validation).agg(F.sqrt(F.avg(off * off)).alias("rmse")).select(
+        F.lit(fitted <= best + patience).alias("no_round_beyond_patience"),
+        F.lit(fitted < 20).alias("stopped_before_the_last"),
+        (F.abs(F.col("rmse") - errors[best - 1]) < 1e-6).alias("best_is_kept"),
+        F.lit(len(errors) == fitted and len(model.trees) == best).alias("errors_are_those_of_the_rounds"),
+    )
+
+
+_PENALTY_GRID = [(0.0, 0.0), (5.0, 0.0), (0.0, 1000.0), (2000.0, 50.0), (1e9, 1.0)]
+
+
+@query(
+    "m1_leaf_penalties",
+    on_loans(
+        """SELECT reg_alpha, reg_lambda, round(f2, 6) AS prediction FROM (
+          SELECT *, f1 + 5E-1 * coalesce(sign(s - n * f1) * greatest(abs(s - n * f1) - reg_alpha, 0) / (n + reg_lambda), 0) AS f2
+          FROM (SELECT *, 5E-1 * sign(s) * greatest(abs(s) - reg_alpha, 0) / (n + reg_lambda) AS f1
+                FROM (SELECT sum(RiskScore) AS s, count(*) AS n FROM loans), grid))""",
+        "grid(reg_alpha, reg_lambda) AS (VALUES (0E0, 0E0), (5E0, 0E0), (0E0, 1E3), (2E3, 5E1), (1E9, 1E0))",
+    ),
+)
+def leaf_penalties(spark, sf_dir):
+    """Two rounds of one-leaf trees, whose values have a closed form."""
+    vectors, rows = _vectors(spark, sf_dir), []
+    for alpha, penalty in _PENALTY_GRID:
+        params = {"n_estimators": 2, "learning_rate": 0.5, "max_depth": 0, "reg_alpha": alpha, "reg_lambda": penalty}
+        model, _, _ = boosting.boost(vectors, None, params, "RiskScore", base=0.0)
+        one = model.transform(vectors.limit(1)).select(
+            F.lit(alpha).alias("reg_alpha"), F.lit(penalty).alias("reg_lambda"), "prediction"
+        )
+        rows.append(one)
+    return tidy(reduce(DataFrame.unionByName, rows))
+
+
 @query("m16_m18_final_model")
 def final_model(spark, sf_dir):
     """Trains, saves, loads and scores: test metrics, gate, importance and sample predictions."""
