@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert [sum(bool(re.match(rf"op{n}_", q)) for q in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(bool(re.match(rf"op{n}_", q)) for q in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
