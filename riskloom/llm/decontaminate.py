@@ -23,23 +23,41 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), BREAK, -1), "")
 
 
-def window_hashes(words: Column, n: int) -> Column:
-    """Hash of every run of ``n`` consecutive words, by start."""
-    return F.when(
-        F.size(words) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n))),
-    ).otherwise(F.array().cast("array<bigint>"))
+def window_hashes(words: Column, lengths: list[int]) -> Column:
+    """Hashes of all runs of consecutive words, by start; first those of ``lengths[0]`` words, and so on.
+
+    Every word is hashed once. A run of 2k words joins the hashes of its two halves, so that all runs
+    of ten words take four passes over the array, however long the words are.
+    """
+    n_words = F.size(words)
+
+    def joined(left: Column, right: Column, by: int) -> Column:
+        """Hash of ``left`` at each place with ``right`` that starts ``by`` words later; the tail is void."""
+        return F.zip_with(left, F.slice(right, F.lit(by + 1), F.size(right)), lambda x, y: F.xxhash64(x, y))
+
+    def of_length(n: int, power: dict[int, Column]) -> Column:
+        bits = [k for k in sorted(power, reverse=True) if n & k]
+        run, width = power[bits[0]], bits[0]
+        for k in bits[1:]:
+            run, width = joined(run, power[k], width), width + k
+        return F.slice(run, F.lit(1), F.greatest(n_words - (n - 1), F.lit(0)))
+
+    def powers(power: dict[int, Column]) -> Column:
+        last = max(power)
+        if 2 * last > max(lengths):
+            return F.concat(*[of_length(n, power) for n in lengths])
+        return let(joined(power[last], power[last], last), lambda h: powers({**power, 2 * last: h}))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: powers({1: h}))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``h, gram, items``: one row per distinct window; a shorter item is one window, an empty one none."""
+    """``gram, items``: one row per distinct window; a shorter item is one window, an empty one none."""
     words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     size = F.least(F.size("words"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("words") - size + 1)
     grams = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("gram"))
-    return grams.groupBy("gram").agg(F.collect_set("item_id").alias("items")).select(
-        F.xxhash64("gram").alias("h"), "gram", "items"
-    )
+    return grams.groupBy("gram").agg(F.collect_set("item_id").alias("items"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -59,11 +77,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
         lengths = sorted((r.n for r in sizes), reverse=True)
     finally:
         windows.unpersist()
+    own_hash = F.lit(None).cast("bigint")
+    for n in lengths:
+        own_hash = F.when(F.size("gram") == n, window_hashes(F.col("gram"), [n])[0]).otherwise(own_hash)
+    windows = windows.select(own_hash.alias("h"), "gram", "items")
     base = docs.select("doc_id", text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("words"))
     marker = F.array(F.lit(None).cast("bigint"))
-    hashes = let(F.col("words"), lambda w: F.concat(marker, *[window_hashes(w, n) for n in lengths]))
+    hashes = let(F.col("words"), lambda w: F.concat(marker, window_hashes(w, lengths)) if lengths else marker)
     rows = base.select("doc_id", "key", "words", F.size("words").alias("n_words"), hashes.alias("hashes")).select(
-        "doc_id", "key", "words", "n_words", F.posexplode("hashes").alias("at", "h")
+        # The array is never empty; the outer form keeps the optimizer from computing it once more to test that.
+        "doc_id", "key", "words", "n_words", F.posexplode_outer("hashes").alias("at", "h")
     )
     # Place in the joined list of windows -> start and length of the window.
     start, length, passed = F.lit(0), F.lit(0), F.lit(1)
@@ -74,11 +97,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     own = F.slice("words", start + 1, F.greatest(length, F.lit(1)))
     if total <= BROADCAST_WINDOWS:
         # Rows stay where they are; only equal hashes are looked at word by word.
-        known, same = F.broadcast(windows), own == windows["gram"]
+        known, mine = F.broadcast(windows), own
     else:
         # Rows are shuffled, each with its own words only.
         rows = rows.select("doc_id", "key", "n_words", "at", "h", own.alias("own"))
-        known, same = windows, rows["own"] == windows["gram"]
+        known, mine = windows, rows["own"]
+    # Not written as an equality: that would make the words a join key, cut out and hashed for every window.
+    same = (mine >= windows["gram"]) & (mine <= windows["gram"])
     found = (
         rows.join(known, (rows["h"] == windows["h"]) & same, "left")
         .where((F.col("at") == 0) | F.col("gram").isNotNull())
