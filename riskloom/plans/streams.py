@@ -38,10 +38,10 @@ def stream_scoring(spark, sf_dir):
     rows = jobs.read_csv_stream(spark, f"{path}/in", df.columns, files_per_batch=4)
     rows = rows.withColumn("row_id", F.col("row_id").cast("bigint"))
     jobs.score_stream(rows, RAW_CONTRACT, _scored, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    good = spark.read.parquet(f"{path}/out/good").groupBy(F.col("LoanPurpose").alias("detail")).agg(
+    good = jobs.read_committed(spark, f"{path}/out", "good").groupBy(F.col("LoanPurpose").alias("detail")).agg(
         F.count(F.lit(1)).alias("row_count"), F.avg("score").alias("mean_score")
     )
-    bad = spark.read.parquet(f"{path}/out/quarantine").select(F.inline("violations"))
+    bad = jobs.read_committed(spark, f"{path}/out", "quarantine").select(F.inline("violations"))
     held = bad.groupBy(F.concat_ws(":", "field", "code").alias("detail")).agg(F.count(F.lit(1)).alias("row_count"))
     return tidy(
         good.withColumn("sink", F.lit("good")).unionByName(
@@ -76,8 +76,8 @@ def fitted_scoring(spark, sf_dir):
     rows = jobs.read_csv_stream(spark, f"{path}/in", dirty.columns, files_per_batch=4)
     rows = rows.withColumn("row_id", F.col("row_id").cast("bigint"))
     jobs.score_stream(rows, RAW_CONTRACT, score, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    streamed = spark.read.parquet(f"{path}/out/good")
-    held = spark.read.parquet(f"{path}/out/quarantine")
+    streamed = jobs.read_committed(spark, f"{path}/out", "good")
+    held = jobs.read_committed(spark, f"{path}/out", "quarantine")
     batch, _ = modelling.score_checked(model, dirty.drop("MaritalStatus"), RAW_CONTRACT, numeric, categorical, names)
     same = streamed.join(batch.withColumnRenamed("prediction", "again"), "row_id").filter("prediction <=> again")
     keys = streamed.select("row_id").union(held.select("row_id")).distinct()
@@ -127,3 +127,49 @@ def batch_quality(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = jobs.quality_windows(events, "ts", "value", 0, 50, "event_type").drop("window_end")
     return tidy(out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
+
+
+# A plain score of every event and a label that some get soon, some too late, and some never.
+_SCORED = """SELECT event_id, ts AS made_at, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value * 0.9 + 1E0 / 3 END AS predicted FROM {0}"""
+_LABELS = """SELECT event_id, known_at, actual FROM (
+    SELECT event_id, ts + {1} AS known_at, value + event_id % 5 - 2.0 AS actual FROM {0}) x WHERE event_id % 11 <> 0"""
+_GATED = f"""WITH p AS ({_SCORED.format("events")}),
+    l AS ({_LABELS.format("events", "to_minutes(CAST(event_id % 180 AS INTEGER))")}),
+    j AS (SELECT time_bucket(INTERVAL 1 HOUR, made_at) AS w, predicted AS p, actual AS y FROM p
+        LEFT JOIN l ON p.event_id = l.event_id AND known_at >= made_at AND known_at <= made_at + INTERVAL 2 HOUR),
+    s AS (SELECT w, count(*) AS row_count, count(*) FILTER (p IS NOT NULL AND y IS NOT NULL) AS labelled,
+        count(*) FILTER (p IS NULL OR p < 0 OR p > 50) AS violations, min(p) AS min_score, max(p) AS max_score,
+        avg(p) AS mean_score, sqrt(avg((y - p) * (y - p))) AS rmse,
+        1 - sum((y - p) * (y - p)) / nullif(count(*) FILTER (p IS NOT NULL AND y IS NOT NULL)
+            * var_pop(CASE WHEN p IS NOT NULL THEN y END), 0) AS r2,
+        sum((y - p) * (y - p)) AS misses
+        FROM j GROUP BY w),
+    f AS (SELECT * EXCLUDE (r2, misses), CASE WHEN labelled > 0
+        THEN coalesce(r2, CASE WHEN misses = 0 THEN 1E0 ELSE 0E0 END) END AS r2 FROM s)
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, row_count, labelled, violations,
+        round(min_score, 6) AS min_score, round(max_score, 6) AS max_score, round(mean_score, 6) AS mean_score,
+        round(rmse, 6) AS rmse, round(r2, 6) AS r2,
+        CASE WHEN labelled = 0 THEN 'skip' WHEN r2 >= 0.85 AND rmse <= 3 THEN 'pass' ELSE 'fail' END AS status FROM f"""
+
+
+def _gate(events):
+    """Gate windows over ``events``, a stream or a table."""
+    scored = events.selectExpr("event_id", "ts AS made_at", "CASE WHEN event_id % 97 = 0 THEN NULL ELSE value * 0.9D + 1D / 3 END AS predicted")
+    labels = events.where("event_id % 11 <> 0").selectExpr(
+        "event_id", "ts + make_dt_interval(0, 0, event_id % 180) AS known_at", "value + event_id % 5 - 2.0D AS actual"
+    )
+    return jobs.gate_windows(jobs.await_labels(scored, labels, "event_id", "made_at", "known_at"), "made_at", "predicted", "actual", 0, 50)
+
+
+@query("s2_stream_gate", _GATED)
+def stream_gate(spark, sf_dir):
+    """Accuracy gate per window of a stream whose labels come late: its windows and the closing pass."""
+    path, source = fresh_path(spark, "gate"), table(spark, sf_dir, "events")
+    events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    windows = _gate(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    jobs.write_windows(windows, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    delivered = spark.read.schema(windows.schema).parquet(f"{path}/out")
+    rest = _gate(source.withColumn("ts", F.col("ts").cast("timestamp")))
+    closing = jobs.closing_pass(rest, delivered, counts=("row_count", "labelled"))
+    whole = jobs.completed(delivered, closing).drop("window_end", "message")
+    return tidy(whole.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
