@@ -82,7 +82,7 @@ _COLLECT = """
 SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word
 """
 _DECODE = """
-SELECT row, string_agg(v.hex, '' ORDER BY pos) AS hex, count(*) AS n
+SELECT row, unhex(string_agg(v.hex, '' ORDER BY pos)) AS bytes, count(*) AS n
 FROM tokens JOIN vocabulary v USING (id) GROUP BY row
 """
 
@@ -183,8 +183,8 @@ class Engine:
         if (pa.compute.sum(got["n"]).as_py() or 0) != len(flat):
             raise ValueError("an id is not in the vocabulary")
         out = [b""] * len(lists)
-        for row, text in zip(got["row"].to_pylist(), got["hex"].to_pylist(), strict=True):
-            out[row] = bytes.fromhex(text)
+        for row, decoded in zip(got["row"].to_pylist(), got["bytes"].to_pylist(), strict=True):
+            out[row] = decoded
         return out
 
     def values(self, parts: list[list[str]]) -> None:
@@ -194,13 +194,25 @@ class Engine:
         wanted: set[str] = set()
         for some in parts:
             wanted.update(some)
-        new = [c for c in wanted.difference(self.chunks) if not self._recall(c)]
+        chunks, older = self.chunks, self.older.get
         # One chunk may hold several matches of the pattern: " word," is two.
-        cut = {c: [c] if self.whole(c) else self.split(c) for c in new}
-        pieces = {p for some in cut.values() for p in some}
-        fresh = [p for p in pieces.difference(self.chunks) if not self._recall(p)]
-        coded = self.encode_pieces([p.encode() for p in fresh])
-        ids = [coded[p.encode()] for p in fresh]
+        unknown: set[str] = set()
+        cut: dict[str, list[str]] = {}
+        for c in wanted.difference(chunks):
+            if (value := older(c)) is not None:
+                chunks[c] = value
+            elif self.whole(c):
+                unknown.add(c)
+            else:
+                cut[c] = self.split(c)
+        for p in {p for some in cut.values() for p in some}.difference(chunks):
+            if (value := older(p)) is not None:
+                chunks[p] = value
+            else:
+                unknown.add(p)
+        fresh = list(unknown)
+        encoded = [p.encode() for p in fresh]
+        ids = list(map(self.encode_pieces(encoded).__getitem__, encoded))
         # What is remembered next to the ids is what they decode to, so a text's bytes are those of its ids.
         for at in range(0, len(fresh), PIECES):
             some = ids[at : at + PIECES]
@@ -212,12 +224,6 @@ class Engine:
     def forget(self) -> None:
         self.chunks, self.older = {}, {}
 
-    def _recall(self, chunk: str) -> bool:
-        value = self.older.get(chunk)
-        if value is not None:
-            self.chunks[chunk] = value
-        return value is not None
-
     def encode(self, texts: list[str]) -> list[Value]:
         """Ids (int32 bytes) and decoded bytes of whole texts."""
         out: list[list[Value]] = [[] for _ in texts]
