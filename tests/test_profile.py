@@ -154,3 +154,24 @@ def test_classes_and_guards(spark):
         guard_input(df.filter("id < 0"), ["id"])
     with pytest.raises(ValueError):
         guard_input(df, ["nothing"])
+
+
+def test_no_task_ranks_all_rows_of_a_frequent_value(spark, monkeypatch):
+    """Most rows hold one value: few distinct values are broadcast, of many the frequent ones are."""
+    n = 4000
+    pdf = pd.DataFrame({"row_id": range(n)})
+    pdf["a"] = [0.0 if k % 10 else float(k) for k in range(n)]
+    pdf["b"] = [float(k * 7919 % n) for k in range(n)]
+    pdf["c"] = [-1.0 if k % 4 else float(k % 3) for k in range(n)]
+    df = spark.createDataFrame([(int(i), *map(float, v)) for i, *v in pdf.values], "row_id long, a double, b double, c double")
+    want = pdf[["a", "b", "c"]].rank().corr()
+    monkeypatch.setattr(profile, "FEW", 10)
+    for r in profile.spearman_matrix(df, ["a", "b", "c"]).collect():
+        assert r["correlation"] == pytest.approx(want.loc[r["column_a"], r["column_b"]])
+    ranks = profile.column_ranks(df, ["a"])
+    monkeypatch.setitem(profile._ranked.__globals__, "BUCKETS", 8)
+    spread = []
+    real = profile.F.xxhash64
+    monkeypatch.setattr(profile.F, "xxhash64", lambda *c: spread.append(c) or real(*c))
+    got = profile._ranked(profile.doubles(df, ["a"], "row_id"), "a", ranks, 401, n)
+    assert spread and got.agg({"a": "sum"}).first()[0] == pytest.approx(n * (n + 1) / 2)
