@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 import gc
 import hashlib
 import re
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,38 +18,37 @@ from pyspark.sql import functions as F
 from .common import bounded, query, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# Pieces per recursive query, characters per group of texts, remembered chunks per worker: memory
-# bounds only, no text is cut short by them.
+# Pieces per recursive query, tokens per decoding query, characters per group of texts, remembered chunks
+# per worker while it encodes and after a partition: memory bounds only, no text is cut short by them.
 PIECES = 25_000
-GROUP_CHARS = 1_000_000
+TOKENS = 250_000
+GROUP_CHARS = 500_000
 SLICE_CHARS = 1_000_000
 REMEMBERED = 200_000
+LEFT = 50_000
 # Pieces of more bytes than this take the query that contracts many equal pairs at once; the ids are the same.
 LONG_PIECE = 64
 
 # Every row knows its successor (place and token). A round looks up the rank of each pair, takes the
 # least rank of each word at its leftmost place, and contracts that one pair; words without any pair left are done.
+# Rank, place and successor's place are one number, so the least of a word names all three.
 _ENCODE = """
 WITH RECURSIVE step(word, pos, tok, next_pos, next_tok, live) AS (
   SELECT word, pos, tok, next_pos, next_tok, true FROM pieces
   UNION ALL
-  (WITH ranked AS MATERIALIZED (
-     SELECT s.word, s.pos, s.tok, s.next_pos, s.next_tok, m.merged
-     FROM step s LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 4194304 + s.next_tok WHERE s.live),
-   best AS MATERIALIZED (
-     SELECT word, min(merged::BIGINT * 1048576 + pos) AS first_least FROM ranked GROUP BY word),
+  (WITH best AS MATERIALIZED (
+     SELECT s.word, min(m.merged::BIGINT * 1099511627776 + s.pos::BIGINT * 1048576 + s.next_pos) AS least
+     FROM step s JOIN merges m ON m.pair = s.tok::BIGINT * 4194304 + s.next_tok WHERE s.live GROUP BY s.word),
    pick AS MATERIALIZED (
-     SELECT l.word, l.pos AS at, l.next_pos AS gone, l.merged, r.next_pos, r.next_tok
-     FROM best b JOIN ranked l ON l.word = b.word AND l.pos = (b.first_least & 1048575)
-     JOIN ranked r ON r.word = b.word AND r.pos = l.next_pos
-     WHERE b.first_least IS NOT NULL)
+     SELECT b.word, ((least >> 20) & 1048575)::INT AS place, r.pos AS gone, (least >> 40)::INT AS merged, r.next_pos, r.next_tok
+     FROM best b JOIN step r ON r.word = b.word AND r.pos = (least & 1048575)::INT)
    SELECT r.word, r.pos,
-     CASE WHEN r.pos = p.at THEN p.merged ELSE r.tok END,
-     CASE WHEN r.pos = p.at THEN p.next_pos ELSE r.next_pos END,
-     CASE WHEN r.pos = p.at THEN p.next_tok WHEN r.next_pos = p.at THEN p.merged ELSE r.next_tok END,
-     p.at IS NOT NULL
-   FROM ranked r LEFT JOIN pick p ON p.word = r.word
-   WHERE r.pos IS DISTINCT FROM p.gone)
+     CASE WHEN r.pos = p.place THEN p.merged ELSE r.tok END,
+     CASE WHEN r.pos = p.place THEN p.next_pos ELSE r.next_pos END,
+     CASE WHEN r.pos = p.place THEN p.next_tok WHEN r.next_pos = p.place THEN p.merged ELSE r.next_tok END,
+     p.place IS NOT NULL
+   FROM step r LEFT JOIN pick p ON p.word = r.word
+   WHERE r.live AND r.pos IS DISTINCT FROM p.gone)
 )
 """
 # The same for long pieces: all non-overlapping places of the least pair are contracted in one round,
@@ -77,25 +76,63 @@ WITH RECURSIVE step(word, pos, tok, live) AS (
    SELECT word, pos, CASE WHEN take THEN least ELSE tok END, least IS NOT NULL FROM gone WHERE NOT eaten)
 )
 """
-# Ordered aggregation: the ids of each word in order, and the bytes of each row of ids put together again.
 _COLLECT = """
-SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word
+SELECT word, tok FROM step WHERE NOT live ORDER BY word, pos
 """
+# Ordered aggregation: the bytes of a row of ids put together again.
 _DECODE = """
-SELECT row, unhex(string_agg(v.hex, '' ORDER BY pos)) AS bytes, count(*) AS n
-FROM tokens JOIN vocabulary v USING (id) GROUP BY row
+SELECT unhex(string_agg(v.hex, '' ORDER BY pos)) AS bytes, count(*) AS n FROM tokens JOIN vocabulary v USING (id)
 """
 
 Value = tuple[bytes, bytes]  # int32 ids, decoded bytes
 
 
+class Spans:
+    """Rows of values of one type, each as long as it is, kept end to end."""
+
+    def __init__(self, kind: type):
+        self.flat, self.starts, self.sizes = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def put(self, rows: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Sets ``rows``, whose values stand in ``flat`` one row after another."""
+        if len(rows) and (more := int(rows.max()) + 1 - len(self.starts)) > 0:
+            self.starts = np.append(self.starts, np.zeros(more, np.int64))
+            self.sizes = np.append(self.sizes, np.zeros(more, np.int64))
+        self.starts[rows] = len(self.flat) + np.cumsum(sizes) - sizes
+        self.sizes[rows] = sizes
+        self.flat = np.concatenate([self.flat, flat])
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of ``rows`` one row after another, and their number in each."""
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.starts[rows] - ends + sizes, sizes)
+        return self.flat[shift + np.arange(len(shift))], sizes
+
+
+class Names(dict):
+    """Row numbers of strings. A string asked for the first time gets the next number and is listed in ``new``."""
+
+    def __init__(self, names: list[str]):
+        super().__init__(zip(names, range(len(names)), strict=True))
+        self.new: list[str] = []
+
+    def __missing__(self, name: str) -> int:
+        self.new.append(name)
+        self[name] = row = len(self)
+        return row
+
+    def rows(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, names), np.int64, len(names))
+
+
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
 
 
 class Engine:
-    """Merge table and vocabulary of one file in a private DuckDB, with the chunks met last."""
+    """Merge table and vocabulary of one file in a private DuckDB, with the chunks met last and most often."""
 
     def __init__(self, blob: bytes, pattern: str):
         import duckdb
@@ -124,11 +161,12 @@ class Engine:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.chunks: dict[str, Value] = {}
-        self.older: dict[str, Value] = {}
+        self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.size[list(self.ranks.values())] = list(map(len, self.ranks))
+        self.forget()
 
-    def _query(self, sql: str, words: list[bytes]) -> list[bytes]:
-        """The ids of ``words`` in order; each has at least one byte."""
+    def _query(self, sql: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words`` one after another, and their number in each; each has at least one byte."""
         data = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(sizes) - sizes
@@ -146,104 +184,117 @@ class Engine:
             }
         )
         self.db.register("pieces", pieces)
-        got = self.db.sql(f"SELECT * FROM ({sql + _COLLECT}) ORDER BY word").to_arrow_table()
+        got = self.db.sql(sql + _COLLECT).to_arrow_table()
         self.db.unregister("pieces")
-        ids = got["ids"].combine_chunks()
-        flat, ends = ids.flatten().to_numpy().astype(np.int32).tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-        return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)]
-
-    def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of distinct pieces. A piece that is a token is that token."""
-        out: dict[bytes, bytes] = {}
-        long, short = [], []
-        for p in pieces:
-            if (rank := self.ranks.get(p)) is not None:
-                out[p] = rank.to_bytes(4, "little")
-            else:
-                (long if len(p) > LONG_PIECE else short).append(p)
-        for sql, words, some in ((_ENCODE, short, PIECES), (_ENCODE_LONG, long, 1000)):
-            at = 0
-            while at < len(words):
-                end, size = at, 0
-                while end < len(words) and end - at < some and (end == at or size < 32 * PIECES):
-                    size += len(words[end])
-                    end += 1
-                out.update(zip(words[at:end], self._query(sql, words[at:end]), strict=True))
+        return got["tok"].to_numpy().astype(np.int32), np.bincount(got["word"].to_numpy(), minlength=len(words))
+
+    def encode_pieces(self, rows: np.ndarray, pieces: list[bytes]) -> None:
+        """Sets the ids of distinct pieces. A piece that is a token is that token."""
+        ranks = [self.ranks.get(p, -1) for p in pieces]
+        rank, sizes = np.array(ranks, np.int32), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        token = rank >= 0
+        self.ids.put(rows[token], rank[token], np.ones(int(token.sum()), np.int64))
+        long = ~token & (sizes > LONG_PIECE)
+        for sql, which, some in ((_ENCODE, ~token & ~long, PIECES), (_ENCODE_LONG, long, 1000)):
+            places, at = np.flatnonzero(which), 0
+            total = np.cumsum(sizes[places])
+            while at < len(places):
+                before = int(total[at] - sizes[places[at]])
+                end = min(at + some, max(at + 1, int(np.searchsorted(total, before + 32 * PIECES))))
+                part = places[at:end]
+                self.ids.put(rows[part], *self._query(sql, [pieces[k] for k in part.tolist()]))
                 at = end
-        return out
-
-    def decode(self, lists: list[bytes]) -> list[bytes]:
-        """The bytes of every row of ids (int32 bytes). An id outside the vocabulary is an error."""
-        flat = np.frombuffer(b"".join(lists), np.int32)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        rows = {"row": np.repeat(np.arange(len(lists), dtype=np.int32), sizes), "pos": np.arange(len(flat)), "id": flat}
-        self.db.register("tokens", pa.table(rows))
-        got = self.db.sql(_DECODE).to_arrow_table()
-        self.db.unregister("tokens")
-        if (pa.compute.sum(got["n"]).as_py() or 0) != len(flat):
-            raise ValueError("an id is not in the vocabulary")
-        out = [b""] * len(lists)
-        for row, decoded in zip(got["row"].to_pylist(), got["bytes"].to_pylist(), strict=True):
-            out[row] = decoded
-        return out
-
-    def values(self, parts: list[list[str]]) -> None:
-        """Makes every chunk of ``parts`` known."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks, self.older = {}, self.chunks
-        wanted: set[str] = set()
-        for some in parts:
-            wanted.update(some)
-        chunks, older = self.chunks, self.older.get
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids in a row. An id outside the vocabulary is an error."""
+        out = []
+        for at in range(0, len(ids), TOKENS):
+            part = ids[at : at + TOKENS]
+            self.db.register("tokens", pa.table({"pos": np.arange(len(part)), "id": part}))
+            decoded, n = self.db.sql(_DECODE).fetchall()[0]
+            self.db.unregister("tokens")
+            if n != len(part):
+                raise ValueError("an id is not in the vocabulary")
+            out.append(decoded)
+        return b"".join(out)
+
+    def learn(self) -> None:
+        """Sets ids and decoded bytes of the chunks met for the first time."""
+        fresh, first = self.names.new, len(self.names) - len(self.names.new)
         # One chunk may hold several matches of the pattern: " word," is two.
-        unknown: set[str] = set()
-        cut: dict[str, list[str]] = {}
-        for c in wanted.difference(chunks):
-            if (value := older(c)) is not None:
-                chunks[c] = value
-            elif self.whole(c):
-                unknown.add(c)
-            else:
-                cut[c] = self.split(c)
-        for p in {p for some in cut.values() for p in some}.difference(chunks):
-            if (value := older(p)) is not None:
-                chunks[p] = value
-            else:
-                unknown.add(p)
-        fresh = list(unknown)
-        encoded = [p.encode() for p in fresh]
-        ids = list(map(self.encode_pieces(encoded).__getitem__, encoded))
+        cut, parts = [], []
+        for row, chunk in enumerate(fresh, first):
+            if not self.whole(chunk) and len(some := self.split(chunk)) > 1:
+                cut.append(row)
+                parts.append(some)
+        pieces = self.names.rows([p for some in parts for p in some])
+        rows = np.setdiff1d(np.arange(first, len(self.names)), cut, assume_unique=True)
+        self.encode_pieces(rows, [fresh[row - first].encode() for row in rows.tolist()])
         # What is remembered next to the ids is what they decode to, so a text's bytes are those of its ids.
-        for at in range(0, len(fresh), PIECES):
-            some = ids[at : at + PIECES]
-            self.chunks.update(zip(fresh[at : at + PIECES], zip(some, self.decode(some), strict=True), strict=True))
-        for c, some in cut.items():
-            if len(some) > 1:
-                self.chunks[c] = _joined([self.chunks[p] for p in some])
-
-    def forget(self) -> None:
-        self.chunks, self.older = {}, {}
+        ids, sizes = self.ids.of(rows)
+        decoded = np.frombuffer(self.decode(ids), np.uint8)
+        self.decoded.put(rows, decoded, _sums(self.size[ids], sizes))
+        for kept in (self.ids, self.decoded):
+            flat, sizes = kept.of(pieces)
+            kept.put(np.array(cut, np.int64), flat, _sums(sizes, list(map(len, parts))))
+        self.names.new = []
+        self.uses = np.append(self.uses, np.zeros(len(self.names) - len(self.uses), np.int64))
+        self.uses += np.bincount(pieces, minlength=len(self.uses))
+
+    def forget(self, kept: np.ndarray | None = None) -> None:
+        """Forgets all chunks but those of the rows ``kept``, whose uses then count half."""
+        names, ids, decoded, uses = Names([]), Spans(np.int32), Spans(np.uint8), np.zeros(0, np.int64)
+        if kept is not None:
+            every, rows = list(self.names), np.arange(len(kept))
+            names = Names([every[row] for row in kept.tolist()])
+            ids.put(rows, *self.ids.of(kept))
+            decoded.put(rows, *self.decoded.of(kept))
+            uses = self.uses[kept] // 2
+        self.names, self.ids, self.decoded, self.uses = names, ids, decoded, uses
+
+    def shrink(self, most: int) -> None:
+        """Forgets all chunks but those met most often, ``most`` at most, and more than once."""
+        often = np.argsort(-self.uses, kind="stable")[:most]
+        self.forget(np.sort(often[self.uses[often] > 1]))
 
     def encode(self, texts: list[str]) -> list[Value]:
         """Ids (int32 bytes) and decoded bytes of whole texts."""
-        out: list[list[Value]] = [[] for _ in texts]
-        group, chars = [], 0
+        ids, n_ids, decoded, n_bytes = self.encoded(texts)
+        a, b = np.append(0, np.cumsum(n_ids)), np.append(0, np.cumsum(n_bytes))
+        return [(ids[a[k] : a[k + 1]].tobytes(), decoded[b[k] : b[k + 1]].tobytes()) for k in range(len(texts))]
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of whole texts one after another, their number in each text; decoded bytes, and their number."""
+        ids, decoded = [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)]
+        n_ids, n_bytes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        chunks, owners, counts, chars = [], [], [], 0
+
+        def flush() -> None:
+            if len(self.names) > REMEMBERED:
+                self.shrink(REMEMBERED // 2)
+            rows = self.names.rows(chunks)
+            self.learn()
+            self.uses += np.bincount(rows, minlength=len(self.uses))
+            for kept, out, n in ((self.ids, ids, n_ids), (self.decoded, decoded, n_bytes)):
+                flat, sizes = kept.of(rows)
+                out.append(flat)
+                np.add.at(n, owners, _sums(sizes, counts))
+
         gc.disable()  # nothing here makes cycles, and scanning the remembered chunks costs more than the work
         for k, text in enumerate(texts):
             for piece in _slices(text):
-                group.append((k, self.chunked(piece)))
+                some = self.chunked(piece)
+                chunks += some
+                owners.append(k)
+                counts.append(len(some))
                 chars += len(piece)
                 if chars >= GROUP_CHARS:
-                    self._flush(group, out)
-                    group, chars = [], 0
-        self._flush(group, out)
+                    flush()
+                    chunks, owners, counts, chars = [], [], [], 0
+        if chunks:
+            flush()
         gc.enable()
-        return [_joined(some) for some in out]
-
-    def _flush(self, group: list[tuple[int, list[str]]], out: list[list[Value]]) -> None:
-        self.values([chunks for _, chunks in group])
-        for k, chunks in group:
-            out[k].append(_joined(list(map(self.chunks.__getitem__, chunks))))
+        return np.concatenate(ids), n_ids, np.concatenate(decoded), n_bytes
 
     def chunked(self, text: str) -> list[str]:
         """The text cut before spaces that stand between two other characters that aren't white space.
@@ -257,8 +308,11 @@ class Engine:
         return [p for p in parts[:1] if p] + [" " + p for p in parts[1:]]
 
 
-def _joined(values: list[Value]) -> Value:
-    return b"".join(map(itemgetter(0), values)), b"".join(map(itemgetter(1), values))
+def _sums(values: np.ndarray, counts: np.ndarray | list[int]) -> np.ndarray:
+    """Sums of the first ``counts[0]`` values, the next ``counts[1]`` and so on."""
+    total = np.append(0, np.cumsum(values))
+    ends = np.append(0, np.cumsum(counts)).astype(np.int64)
+    return total[ends[1:]] - total[ends[:-1]]
 
 
 _LATIN_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
@@ -308,18 +362,33 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         for batch in batches:
             for at, end in _groups(batch):
                 rows = batch.slice(at, end - at)
-                found = bpe.encode([t or "" for t in rows.column("text").to_pylist()])
-                ids = np.frombuffer(b"".join([v[0] for v in found]), np.int32)
-                ends = np.cumsum([0] + [len(v[0]) // 4 for v in found]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
-                decoded = pa.array([v[1] for v in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists, decoded], ["doc_id", "ids", "decoded"])
-        bpe.forget()  # the worker may serve other operators next
+                ids, n_ids, data, n_bytes = bpe.encoded([t or "" for t in rows.column("text").to_pylist()])
+                lists = pa.ListArray.from_arrays(_offsets(n_ids), pa.array(ids))
+                columns = [rows.column("doc_id"), lists, _binary(data, n_bytes)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+        # The worker may serve other operators next, beside a JVM that has grown meanwhile.
+        bpe.shrink(LEFT)
+        _release()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, _offsets(sizes).buffers()[1], pa.py_buffer(data)])
+
+
+def _release() -> None:
+    """Gives freed memory back to the system; allocators keep it for the next task otherwise."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
     """Row ranges of a few megabytes of text each."""
     sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(batch.column("text")).to_pylist()], np.int64)
@@ -346,7 +415,8 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
                 lists = part.column("ids").to_pylist()
                 if any(i is None for x in lists for i in x or ()):
                     raise ValueError("an id is null")
-                decoded = pa.array(bpe.decode([np.array(x or (), np.int32).tobytes() for x in lists]), pa.binary())
+                ids = np.array([i for x in lists for i in x or ()], np.int32)
+                decoded = _binary(np.frombuffer(bpe.decode(ids), np.uint8), _sums(bpe.size[ids], [len(x or ()) for x in lists]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), decoded], ["doc_id", "decoded"])
 
     rows = tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))

@@ -62,3 +62,30 @@ def test_decoded_bytes_are_those_of_the_ids():
     wrong.ranks[b" the"] = ids[1]
     got, decoded = wrong.encode(["in the sea"])[0]
     assert ids[1] in np.frombuffer(got, np.int32).tolist() and decoded == b"in was sea"
+
+
+def test_what_is_remembered_is_small():
+    import tracemalloc
+
+    words = [f" {''.join(R.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(8))}" for _ in range(40_000)]
+    fresh = bpe.Engine(*bpe._defaults(None, None))
+    tracemalloc.start()
+    fresh.encode(["".join(words)[1:]])
+    held = tracemalloc.get_traced_memory()[0]
+    del words
+    tracemalloc.stop()
+    assert held < 200 * 40_000
+
+
+def test_frequent_chunks_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 1000)
+    fresh, asked = bpe.Engine(*bpe._defaults(None, None)), []
+    query = fresh._query
+    monkeypatch.setattr(fresh, "_query", lambda sql, words: asked.extend(words) or query(sql, words))
+    # A long time without the frequent word, among many that are met once.
+    last = ["zqxjkvbw,"] * 100 + ["yyxz"] * 700 + ["zqxjkvbw,"] * 100
+    texts = [f"x zqxjkvb{chr(0x4E00 + k)}q {word}" for k, word in enumerate(last)]
+    for (_, decoded), text in zip(fresh.encode(texts), texts, strict=True):
+        assert decoded == text.encode()
+    assert asked.count(b" zqxjkvbw") == 1
