@@ -119,3 +119,10 @@ def test_tuning_resumes(spark):
 
     board = {r["study"]: r["completed"] for r in QUERIES["m12_m13_staged_tuning"](spark, SF).collect()}
     assert board == {"tree_complexity": 2, "gamma": 2, "sampling": 2, "regularization": 0, "learning_rate": 2}
+
+
+def test_final_model_scores_rows_once(spark):
+    from riskloom.plans import QUERIES
+
+    plan = QUERIES["m16_m18_final_model"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan
