@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.parsing import FOREIGN, parse_date, parse_double, parse_long, tidy_text
+from ..functions.parsing import FOREIGN, double_text, long_text, parse_date, parse_double, tidy_text
 from ..schema import Field
 from .columns import literal, quoted
 
@@ -19,33 +19,36 @@ def folded(level: str, fold: str) -> str:
     return level.lower().replace("-", "_") if fold == "dash" else level.lower()
 
 
+def own_spellings(field: Field) -> list[str]:
+    """Levels that a text spelled just so stands for: most texts, known without folding them."""
+    known = {folded(level, field.fold): level for level in field.levels}
+    return [v for v in field.levels if known[folded(v, field.fold)] == v and (field.fold == "dash" or v == v.strip(" "))]
+
+
 def canonical_level(c: Column, field: Field) -> Column:
     """The contract's own spelling of a category, or null for an unknown one.
 
     Spellings are compared in lower case, with dashes as underscores or trimmed.
     """
-    text = F.lower(c.cast("string"))
+    held = c.cast("string")
+    text = F.lower(held)
     text = F.translate(text, "-", "_") if field.fold == "dash" else F.trim(text)
     out = F.lit(None).cast("string")
     for level in field.levels:
         out = F.when(text == folded(level, field.fold), level).otherwise(out)
-    return out
+    return F.when(held.isin(own_spellings(field)), held).otherwise(out)
 
 
 def typed_value(field: Field, source: T.DataType) -> Column:
     """The field's value in its contract type, or null when it cannot be read as such."""
-    raw = F.col(quoted(field.name))
+    name = quoted(field.name)
     if field.kind == "int":
-        if isinstance(source, T.IntegralType):
-            return raw.cast("bigint")
-        return parse_long(raw)
+        return F.expr(f"bigint({name})" if isinstance(source, T.IntegralType) else long_text(f"string({name})"))
     if field.kind == "float":
-        if isinstance(source, T.NumericType):
-            return F.nanvl(raw.cast("double"), F.lit(None).cast("double"))
-        return parse_double(raw)
+        return F.expr(f"nanvl(double({name}), double(NULL))" if isinstance(source, T.NumericType) else double_text(f"string({name})"))
     if field.kind == "enum":
-        return canonical_level(raw, field)
-    return raw.cast("string")
+        return canonical_level(F.col(name), field)
+    return F.expr(f"string({name})")
 
 
 def _kinds(df: DataFrame, contract: list[Field]) -> dict[Field, T.DataType]:
@@ -65,21 +68,32 @@ def _checked_value(field: Field, source: T.DataType) -> str:
     if field.kind == "enum":
         text = f"translate(lower({name}), '-', '_')" if field.fold == "dash" else f"lower(trim({name}))"
         listed = ", ".join(literal(folded(v, field.fold)) for v in field.levels)
-        return f"IF({text} IN ({listed}), 1, NULL)"
+        exact = ", ".join(literal(v) for v in own_spellings(field)) or "NULL"
+        return f"IF({name} IN ({exact}) OR {text} IN ({listed}), 1, NULL)"
     if field.kind == "text":
         return name
+    value = _number(field, source)
+    if field.kind == "int" and not isinstance(source, T.IntegralType):
+        return f"IF({_whole(value, name, source)}, {value}, NULL)"
+    return value
+
+
+def _number(field: Field, source: T.DataType) -> str:
+    """SQL text of a number as it arrives, whole or not; null if it is none."""
+    name = quoted(field.name)
     if isinstance(source, T.IntegralType):
         return name
     if isinstance(source, T.NumericType):
-        value = f"nanvl(double({name}), NULL)"
-    else:
-        value = f"try_cast(translate(trim({name}), '{FOREIGN}', '{'#' * len(FOREIGN)}') AS DOUBLE)"
-    if field.kind == "int":
-        fits = f"abs({value}) < {LONG_LIMIT}"
-        if not isinstance(source, T.NumericType):
-            fits = f"({fits} OR (instr({name}, '.') = 0 AND try_cast({name} AS BIGINT) IS NOT NULL))"
-        return f"IF({value} = floor({value}) AND {fits}, {value}, NULL)"
-    return value
+        return f"nanvl(double({name}), NULL)"
+    return f"IF({name} RLIKE '{FOREIGN}', NULL, try_cast({name} AS DOUBLE))"
+
+
+def _whole(value: str, name: str, source: T.DataType) -> str:
+    """SQL condition that a double is a whole number of a bigint's range."""
+    fits = f"abs({value}) < {LONG_LIMIT}"
+    if not isinstance(source, T.NumericType):
+        fits = f"({fits} OR (instr({name}, '.') = 0 AND try_cast({name} AS BIGINT) IS NOT NULL))"
+    return f"{value} = floor({value}) AND {fits}"
 
 
 def violation_code(field: Field, source: T.DataType) -> str:
@@ -94,12 +108,25 @@ def violation_code(field: Field, source: T.DataType) -> str:
 
 
 def _holds(field: Field, source: T.DataType) -> str:
-    """SQL condition that a field keeps its rules."""
-    value = _checked_value(field, source)
+    """SQL condition that a field keeps its rules.
+
+    A filter computes an expression as often as it is written. Plain digits, what most whole numbers come
+    as, are judged as digits; only other texts are read as a double, bound to a name for its several tests.
+    """
+    value, name = _checked_value(field, source), quoted(field.name)
     bounds = [(">=", field.ge), (">", field.gt), ("<=", field.le)]
-    tests = [f"{value} {op} {limit}" for op, limit in bounds if limit is not None] or [f"{value} IS NOT NULL"]
-    held = f"coalesce({' AND '.join(tests)}, false)"
-    return f"({quoted(field.name)} IS NULL OR {held})" if field.optional else held
+    limits = [f"{op} {limit}" for op, limit in bounds if limit is not None]
+    if field.kind == "int" and not isinstance(source, T.IntegralType):
+        rest = [_whole("v", name, source), *[f"v {limit}" for limit in limits]]
+        tests = [f"exists(array({_number(field, source)}), v -> {' AND '.join(rest)})", "false"]
+        if not isinstance(source, T.NumericType):
+            # Casts to bigint take a DEL around the digits for white space, casts to double do not.
+            digits = f"IF(instr({name}, chr(127)) = 0, double(try_cast({name} AS BIGINT)), NULL)"
+            tests.insert(0, " AND ".join(f"{digits} {limit}" for limit in limits) or f"IF({digits} IS NULL, NULL, true)")
+        held = f"coalesce({', '.join(tests)})"
+    else:
+        held = f"coalesce({' AND '.join(f'{value} {limit}' for limit in limits) or f'{value} IS NOT NULL'}, false)"
+    return f"({name} IS NULL OR {held})" if field.optional else held
 
 
 def broken_fields(df: DataFrame, contract: list[Field]) -> str:

@@ -306,17 +306,16 @@ class TypeOptimizerModel(_Json, Model):
         return self.values["types"]
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        out = []
+        out, types = [], self.types
         for f in df.schema.fields:
-            c, kind = F.col(quoted(f.name)), self.types.get(f.name)
+            c, kind = quoted(f.name), types.get(f.name)
             if kind == "category":
                 # A category keeps its values; the mark travels with the schema.
                 held = f.dataType if isinstance(f.dataType, T.NumericType) else T.StringType()
-                out.append(c.cast(held).alias(f.name, metadata={"category": True}))
+                out.append(F.col(c).cast(held).alias(f.name, metadata={"category": True}))
             elif kind and kind != f.dataType.simpleString():
                 # Later data can exceed the fitted range; such a value becomes null, not a failed batch.
-                cast = c.try_cast(kind) if kind != "float" else c.cast(kind)
-                out.append(cast.alias(f.name))
+                out.append(F.expr(f"{'cast' if kind == 'float' else 'try_cast'}({c} AS {kind}) AS {c}"))
             else:
                 out.append(c)
         return df.select(*out)
